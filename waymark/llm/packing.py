@@ -75,11 +75,11 @@ def pack(
     end = np.array([end_id], "<u4").tobytes()
 
     def cuts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids_of = pieces(tokenizer, cut).ids
+        library = pieces(tokenizer, cut)
         for pdf in batches:
             out: list[tuple] = []
-            for doc, text in zip(pdf["doc_id"], texts(pdf["text"])):
-                ids = ids_of(text) + end
+            for doc, ids in zip(pdf["doc_id"], library.batch(texts(pdf["text"]))):
+                ids += end
                 for piece, at in enumerate(range(0, len(ids), 4 * longest)):
                     part = ids[at : at + 4 * longest]
                     out.append((doc, piece, at // 4, len(part) // 4, zlib.crc32(part)))

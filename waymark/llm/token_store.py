@@ -122,15 +122,15 @@ def write(docs: DataFrame, folder: str, tokenizer: str, cut: str, end_id: int |
     width = 2 if vocabulary <= 1 << 16 else 4
 
     def write_part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids_of, part = pieces(tokenizer, cut).ids, TaskContext.get().partitionId()
+        library, part = pieces(tokenizer, cut), TaskContext.get().partitionId()
         writer, docs_n, ids_n, path = None, 0, 0, f"{folder}/{part:07d}-{uuid.uuid4().hex}.zst"
         for pdf in batches:
             if writer is None and len(pdf):
                 system, inner = opened(path)
                 system.create_dir(inner.rpartition("/")[0], recursive=True)
                 writer = Writer(system.open_output_stream(inner, compression=None), width)
-            for doc, text in zip(pdf["doc_id"], texts(pdf["text"])):
-                ids = ids_of(text) + end
+            for doc, ids in zip(pdf["doc_id"], library.batch(texts(pdf["text"]))):
+                ids += end
                 writer.add(NO_DOC if pd.isna(doc) else int(doc), ids)
                 docs_n, ids_n = docs_n + 1, ids_n + len(ids) // 4
         if writer is not None:

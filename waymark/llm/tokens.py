@@ -1,46 +1,117 @@
 """Ids of public tokenizers at dictionary speed.
 
-Both vocabularies split a text before merging, and never merge across the split. A text is therefore cut at white space
-into pieces whose ids don't depend on their surroundings; a piece's ids come from the tokenizers library once and are then
-remembered. A text with one of U+001C-U+001F, which Python and the library class differently, goes to the library whole.
+Both vocabularies split a text before merging and never merge across the split. Arrow cuts a batch of texts into pieces
+whose ids don't depend on their surroundings and numbers the distinct ones; a piece's ids come from the tokenizers library
+once, many new pieces in one call, and are then remembered. Texts with white space that Python, Arrow and the library may
+class differently go to the library whole.
 """
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
-ODD = re.compile("[\x1c-\x1f]").search
-#: "drop": white space carries no ids. "lead": one blank belongs to the word after it, other white space stands alone.
-CUTS = {"drop": str.split, "lead": re.compile(r" ?\S+|\s+(?!\S)|\s+").findall}
+#: A mark after one of these letters or digits is a piece of its own in both vocabularies.
+LETTERS, MARKS = "A-Za-z0-9À-ÖØ-öø-ÿ", ".,;:!?"
+SPLIT = "\x1f"
+#: Texts that go to the library whole. "drop": white space carries no ids. "lead": a blank belongs to the word after it, so
+#: white space other than single blanks and line ends between words is left to the library.
+WHOLE = {"drop": "[\x1c-\x1f]", "lead": "[\x1c-\x1f\t\v\f\r\u0085   -     　]|[ \n][ \n]|^[ \n]|[ \n]$"}
 
 
-class Pieces(dict):
-    """piece -> its ids as little-endian unsigned 32-bit integers; emptied when full, so memory is bounded."""
+class Pieces:
+    """piece -> its ids as little-endian unsigned 32-bit integers, in two generations of bounded size."""
 
-    def __init__(self, path: str, cut: str, special_as_text: bool = True, limit: int = 300_000):
-        super().__init__()
+    def __init__(self, path: str, cut: str, special_as_text: bool = True, limit: int = 600_000):
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = special_as_text
-        self.cut, self.limit = CUTS[cut], limit
+        self.kind, self.limit = cut, limit
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def encode(self, text: str) -> bytes:
         return np.asarray(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def __missing__(self, piece: str) -> bytes:
-        ids = self.encode(piece)
-        if len(piece) <= 40:
-            if len(self) >= self.limit:
-                self.clear()
-            self[piece] = ids
-        return ids
-
-    def ids(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        return self.encode(text) if ODD(text) else b"".join(map(self.__getitem__, self.cut(text)))
+    def encode_all(self, pieces: list[str]) -> list[bytes]:
+        """Ids of pieces, encoded joined by line ends and told apart by offsets."""
+        found = self.library.encode("\n".join(pieces), add_special_tokens=False)
+        ids, at = np.asarray(found.ids, "<u4"), np.asarray(found.offsets, np.int64).reshape(-1, 2)[:, 0]
+        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces)) + 1
+        starts = np.cumsum(sizes) - sizes
+        first, last = np.searchsorted(at, starts), np.searchsorted(at, starts + sizes - 1)  # a line end's own id stands at the latter place
+        whole = ids.tobytes()
+        return [whole[a:b] for a, b in zip((4 * first).tolist(), (4 * last).tolist())]
+
+    def learn(self, pieces: list[str]) -> list[bytes]:
+        """Ids of distinct pieces; all are remembered but very long ones."""
+        new, old = self.new, self.old
+        got = [new.get(p) for p in pieces]
+        asked = []
+        for k, ids in enumerate(got):
+            if ids is None:
+                p = pieces[k]
+                if (ids := old.get(p)) is None:
+                    if p and not p.isspace() and len(p) <= 1000:
+                        asked.append(k)
+                        continue
+                    ids = self.encode(p)
+                got[k] = ids
+                if len(p) <= 60:
+                    new[p] = ids
+        for k in range(0, len(asked), 2000):
+            part = [pieces[j] for j in asked[k : k + 2000]]
+            for j, p, ids in zip(asked[k : k + 2000], part, self.encode_all(part)):
+                got[j] = ids
+                if len(p) <= 60:
+                    new[p] = ids
+        if len(new) > self.limit:
+            self.old, self.new = new, {}
+        return got
+
+    def cut(self, texts: pa.Array) -> pa.ListArray:
+        if self.kind == "drop":
+            apart = pc.replace_substring_regex(pc.ascii_lower(texts), f"([{LETTERS}])([{MARKS}])", r"\1 \2")
+            return pc.ascii_split_whitespace(apart)
+        apart = pc.replace_substring_regex(texts, f"([{LETTERS}])([{MARKS}])", rf"\1{SPLIT}\2")
+        apart = pc.replace_substring(pc.replace_substring(apart, " ", f"{SPLIT} "), "\n", f"{SPLIT}\n{SPLIT}")
+        return pc.split_pattern(apart, SPLIT)
+
+    def group(self, texts: list[str]) -> list[bytes]:
+        arrow = pa.array(texts, pa.string())
+        whole = pc.match_substring_regex(arrow, WHOLE[self.kind]).to_numpy(zero_copy_only=False)
+        out: list[bytes] = [b""] * len(texts)
+        for k in np.flatnonzero(whole).tolist():
+            out[k] = self.encode(texts[k])
+        rest = np.flatnonzero(~whole)
+        if len(rest):
+            lists = self.cut(arrow.take(pa.array(rest)))
+            ends = lists.offsets.to_numpy()
+            flat = lists.flatten().dictionary_encode()
+            codes = flat.indices.to_numpy(zero_copy_only=False)
+            ids = self.learn(flat.dictionary.to_pylist())
+            sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+            starts = np.cumsum(sizes) - sizes
+            n = sizes[codes]
+            until = np.concatenate([[0], np.cumsum(n)])
+            every = np.frombuffer(b"".join(ids), "<u4")[np.repeat(starts[codes] - until[:-1], n) + np.arange(until[-1])].tobytes()
+            bounds = (4 * until[ends - ends[0]]).tolist()
+            for k, a, b in zip(rest.tolist(), bounds, bounds[1:]):
+                out[k] = every[a:b]
+        return out
+
+    def batch(self, texts: list[str | None], chars: int = 1 << 21) -> list[bytes]:
+        """Ids of each text; missing and empty ones have none. About `chars` characters are worked on at once."""
+        out: list[bytes] = []
+        group, size = [], 0
+        for text in texts:
+            group.append(text or "")
+            size += len(group[-1])
+            if size >= chars:
+                out += self.group(group)
+                group, size = [], 0
+        return out + self.group(group) if group else out
 
 
 _KEPT: dict[tuple, Pieces] = {}
