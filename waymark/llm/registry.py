@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from waymark.llm.decontaminate import op3_benchmark_decontamination
+from waymark.llm.media import op5_media_columns
 from waymark.llm.packing import op1_best_fit_packing
+from waymark.llm.secrets import op7_secret_scans
 from waymark.llm.token_store import op4_token_store
 
-QUERIES = {"op1_best_fit_packing": op1_best_fit_packing, "op4_token_store": op4_token_store}
+FOUND = (op1_best_fit_packing, op3_benchmark_decontamination, op4_token_store, op5_media_columns, op7_secret_scans)
+QUERIES = {f.__name__: f for f in FOUND}
 ORACLE_SQL: dict[str, str] = {}
