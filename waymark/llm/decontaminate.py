@@ -165,3 +165,26 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_byte
 
 def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = 16 << 20) -> DataFrame:
+    """docs without contaminated rows, all columns kept. One pass without an exchange while the benchmark is one block; else
+    rows go by the doc_ids that hits() finds (a null doc_id by its text)."""
+    parts = blocks_of(benchmark, block_bytes)
+    if len(parts) > 1:
+        found = hits(docs, benchmark, window, block_bytes).where("contaminated").select(F.col("doc_id").alias("_bad")).distinct()
+        return docs.join(found, F.col("doc_id").cast("long").eqNullSafe(F.col("_bad")), "left_anti")
+    sent = docs.sparkSession.sparkContext.broadcast([tuple(r) for r in parts[0].toLocalIterator()])
+
+    @F.pandas_udf("boolean")
+    def contaminated(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        tables = searchers(sent.value, window)
+        for text in batches:
+            out = []
+            for t in texts(text):
+                words = plain_words(t)
+                n = int(search(words, tables)[0].sum())
+                out.append(n > 0 and 20 * n >= len(words))
+            yield pd.Series(out, dtype=bool)
+
+    return docs.where(~contaminated(F.col("text").cast("string")))
