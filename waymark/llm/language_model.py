@@ -33,6 +33,7 @@ BINS, DEPTHS = 33, 24
 END = xxhash.xxh3_64_intdigest(b" end") - (1 << 64 if xxhash.xxh3_64_intdigest(b" end") >> 63 else 0)
 SCALE = 1 << 20  # fixed point of what tasks report
 SLICE = 1 << 15
+ROWS = 500  # texts worked on at once
 M1, M2, M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -40,6 +41,14 @@ def fold(doc_id) -> int:
     return zlib.crc32(b"" if pd.isna(doc_id) else str(int(doc_id)).encode()) % 10
 
 
+def slices(batches: Iterator[pd.DataFrame], wanted) -> Iterator[list[str | None]]:
+    """Texts of the folds wanted, ROWS at most at a time."""
+    for pdf in batches:
+        held = [t for d, t in zip(pdf["doc_id"], texts(pdf["text"])) if wanted(fold(d))]
+        for k in range(0, len(held), ROWS):
+            yield held[k : k + ROWS]
+
+
 class Words(dict):
     """word -> local number; hashes by number."""
 
@@ -106,7 +115,7 @@ class Code:
 class Stream:
     """Texts as arrays of local word numbers, with what Code says of them; the words kept are bounded."""
 
-    def __init__(self, code: Code | None, limit: int = 500_000):
+    def __init__(self, code: Code | None, limit: int = 300_000):
         self.code, self.limit = code, limit
         self.words, self.known = Words(), 0
         self.parts: list[np.ndarray] = []
@@ -225,8 +234,7 @@ def score(docs: DataFrame) -> DataFrame:
             if len(used):
                 yield pd.DataFrame({"h": np.array(owner.hashes, np.int64)[used], "c": total[used]})
 
-        for pdf in batches:
-            held = [t for d, t in zip(pdf["doc_id"], texts(pdf["text"])) if fold(d)]
+        for held in slices(batches, lambda f: f > 0):
             if len(stream.words.hashes) > stream.limit:
                 yield from flush()
                 total = np.zeros(1, np.int64)
@@ -255,12 +263,22 @@ def score(docs: DataFrame) -> DataFrame:
     def learn_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         code = sent_code.value
         stream, tables = Stream(code), [np.zeros(s, np.int32) for s in sizes]
-        for pdf in batches:
-            ids, lengths = stream.batch([t for d, t in zip(pdf["doc_id"], texts(pdf["text"])) if fold(d) > 1])
-            if len(ids):
-                for _, _, node, bit, _, slots in decisions(code, stream.parts[1][ids], stream.parts[0][ids], lengths):
-                    for k, at in enumerate([node, *slots]):
-                        np.add.at(tables[k], 2 * at + bit, 1)
+        held: list[list[np.ndarray]] = [[] for _ in tables]
+
+        def add() -> None:
+            for t, places in zip(tables, held):
+                if places:
+                    t += np.bincount(np.concatenate(places), minlength=len(t)).astype(np.int32)
+                    places.clear()
+
+        for part in slices(batches, lambda f: f > 1):
+            ids, lengths = stream.batch(part)
+            for _, _, node, bit, _, slots in decisions(code, stream.parts[1][ids], stream.parts[0][ids], lengths):
+                for places, at in zip(held, [node, *slots]):
+                    places.append((2 * at + bit).astype(np.int32))
+                if sum(map(len, held[0])) >= 1 << 21:
+                    add()
+        add()
         packer = zstandard.ZstdCompressor(level=1)
         yield pd.DataFrame([(k, s, b) for k, t in enumerate(tables) for s, b in enumerate(vector_rows(t, 16 if k else 1, packer)) if b], columns=["part", "segment", "blob"])
 
@@ -280,15 +298,14 @@ def score(docs: DataFrame) -> DataFrame:
         model.__dict__ = sent.value.__dict__ | {"weights": sent.value.weights.copy()}
         stream, gates = Stream(code), np.zeros(LEVELS * LEVELS, np.int64)
         seen, ones = np.zeros(BINS * DEPTHS, np.int64), np.zeros(BINS * DEPTHS, np.int64)
-        for pdf in batches:
-            ids, lengths = stream.batch([t for d, t in zip(pdf["doc_id"], texts(pdf["text"])) if fold(d) == 1])
-            if len(ids):
-                for _, _, node, bit, depth, slots in decisions(code, stream.parts[1][ids], stream.parts[0][ids], lengths):
-                    x, gate = model.inputs(node, slots)
-                    at = Model.bins(model.learn(x, gate, bit), depth)
-                    gates += np.bincount(gate, minlength=len(gates))
-                    seen += np.bincount(at, minlength=len(seen))
-                    ones += np.bincount(at, bit, len(ones)).astype(np.int64)
+        for part in slices(batches, lambda f: f == 1):
+            ids, lengths = stream.batch(part)
+            for _, _, node, bit, depth, slots in decisions(code, stream.parts[1][ids], stream.parts[0][ids], lengths):
+                x, gate = model.inputs(node, slots)
+                at = Model.bins(model.learn(x, gate, bit), depth)
+                gates += np.bincount(gate, minlength=len(gates))
+                seen += np.bincount(at, minlength=len(seen))
+                ones += np.bincount(at, bit, len(ones)).astype(np.int64)
         told = np.concatenate([np.rint(model.weights * SCALE).astype(np.int64).ravel() * np.repeat(gates, INPUTS), gates, seen, ones])
         yield pd.DataFrame({"segment": [0], "blob": [zstandard.ZstdCompressor(1).compress(told.tobytes())]})
 
@@ -308,8 +325,8 @@ def score(docs: DataFrame) -> DataFrame:
         code, model, row = sent_code.value, sent_model.value, TaskContext.get().partitionId() << 40
         stream = Stream(code)
         for whole in batches:
-            for k in range(0, len(whole), 1000):
-                pdf = whole[k : k + 1000]
+            for k in range(0, len(whole), ROWS):
+                pdf = whole[k : k + ROWS]
                 held = texts(pdf["text"])
                 ids, lengths = stream.batch(held)
                 h, cls, base, inner, top = (p[ids] for p in stream.parts)
