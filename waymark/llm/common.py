@@ -7,7 +7,7 @@ import tempfile
 import uuid
 
 import numpy as np
-import xxhash
+from pandas._libs.hashing import hash_object_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +18,9 @@ ALNUM = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256)).tra
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of sf_dir. Texts go to Python in batches of 2,000 rows, unless the session sets another size than the default."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
     return spark.read.parquet(f"{str(sf_dir).rstrip('/')}/{name}.parquet")
 
 
@@ -58,25 +61,20 @@ def plain_words(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(ALNUM).split() if text else []
 
 
-class Hashes(dict):
-    """word -> 64-bit hash, remembered up to a limit."""
+KEY = "waymark-16-bytes"
 
-    limit = 400_000
 
-    def __missing__(self, word: bytes) -> int:
-        h = xxhash.xxh3_64_intdigest(word)
-        if len(word) <= 48:
-            if len(self) >= self.limit:
-                self.clear()
-            self[word] = h
-        return h
-
-
-_HASHES = Hashes()
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    """64-bit SipHash of each word."""
+    held = np.empty(len(words), object)
+    held[:] = words
+    return hash_object_array(held, KEY, "utf-8")
 
 
-def word_hashes(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
+def distinct(values: np.ndarray) -> np.ndarray:
+    """Sorted distinct values; the argument may be sorted in place."""
+    values.sort()
+    return values[np.concatenate([[True], values[1:] != values[:-1]])] if len(values) else values
 
 
 def texts(batch) -> list[str | None]:

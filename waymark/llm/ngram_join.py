@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waymark.llm.common import blank_words, remove, shared_folder, stored, summed_segments, table, texts, vector_rows, word_hashes
+from waymark.llm.common import blank_words, distinct, remove, shared_folder, stored, summed_segments, table, texts, vector_rows, word_hashes
 from waymark.llm.components import components
 
 WORDS, PERCENT, BLOCKS, SEGMENTS = 5, 80, 128, 64
@@ -44,7 +44,7 @@ def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
     for j in range(k):
         out = (out ^ h[j : j + n]) * MIX
         out ^= out >> np.uint64(29)
-    return np.unique(out)
+    return distinct(out)
 
 
 def node_of(s: np.ndarray) -> int:
@@ -74,7 +74,7 @@ def links_of(docs: DataFrame, folder: str, words: int = WORDS, percent: int = PE
     spark = docs.sparkSession
     chosen = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     rows = chosen.count()
-    bits = int(np.clip(rows.bit_length() + 6, 18, 24))
+    bits = int(np.clip(rows.bit_length() + 6, 18, 22))
 
     def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts, seen = np.zeros(1 << bits, np.int32), set()
@@ -89,7 +89,7 @@ def links_of(docs: DataFrame, folder: str, words: int = WORDS, percent: int = PE
                 out.append((doc, node, len(s), profile(s), None, None))
                 if node not in seen:
                     seen.add(node)
-                    np.add.at(counts, (s >> np.uint64(64 - bits)).astype(np.int64), 1)
+                    counts[(s >> np.uint64(64 - bits)).astype(np.int64)] += 1  # a row counts once in a cell
             made = pd.DataFrame(out, columns=["doc_id", "node", "n", "profile", "segment", "blob"])
             yield made.assign(doc_id=made["doc_id"].astype("Int64"), node=pd.array(made["node"].tolist(), "Int64"), segment=made["segment"].astype("Int32"))
         packer = zstandard.ZstdCompressor(level=1)
@@ -106,7 +106,7 @@ def links_of(docs: DataFrame, folder: str, words: int = WORDS, percent: int = PE
     mean = float(total.mean())
     floor = mean + 6 * mean**0.5 + 8
     common = np.where(total <= floor, 0, np.minimum(255, 1 + 8 * np.log2(np.maximum(total, 1) / floor))).astype(np.uint8)
-    sketch = spark.sparkContext.broadcast(common)  # 16 MB at most
+    sketch = spark.sparkContext.broadcast(common)  # 4 MB at most
     del total
 
     def columns(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -21,7 +21,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waymark.llm.common import blank_words, remove, shared_folder, stored, summed_segments, table, texts, vector_rows, word_hashes
+from waymark.llm.common import blank_words, distinct, remove, shared_folder, stored, summed_segments, table, texts, vector_rows, word_hashes
 
 BITS, SEGMENTS = 20, 16
 POOLS = ("target", "low", "toxic")
@@ -49,7 +49,7 @@ def buckets(text: str | None) -> tuple[np.ndarray, list[int]]:
     pairs = (h[:-1] * MIX ^ h[1:]) * MIX if len(h) > 1 else h
     lines = text.split("\n")
     repeats = np.repeat(REPEATS, [max(0, int((h[:-1] == h[1:]).sum()) - len(h) // 50), max(0, len(lines) - len(set(lines)) - len(lines) // 10)])
-    has = np.unique(np.concatenate([h * MIX, pairs, word_hashes(shapes(text)) ^ MIX]) >> np.uint64(64 - BITS)).astype(np.int64)
+    has = distinct(np.concatenate([h * MIX, pairs, word_hashes(shapes(text)) ^ MIX]) >> np.uint64(64 - BITS)).astype(np.int64)
     return np.concatenate([has, repeats]), [int((pairs * (MIX + np.uint64(2 * k)) >> np.uint64(1)).min()) for k in range(SKETCHES)]
 
 
