@@ -23,7 +23,7 @@ import numpy as np
 import pandas as pd
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from waymark.llm.common import blank_words, distinct, remove, shared_folder, stored, summed_segments, table, texts, vector_rows, word_hashes
@@ -74,7 +74,7 @@ def links_of(docs: DataFrame, folder: str, words: int = WORDS, percent: int = PE
     spark = docs.sparkSession
     chosen = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     rows = chosen.count()
-    bits = int(np.clip(rows.bit_length() + 6, 18, 22))
+    bits = int(np.clip(rows.bit_length() + 6, 18, 24))
 
     def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts, seen = np.zeros(1 << bits, np.int32), set()
@@ -104,9 +104,9 @@ def links_of(docs: DataFrame, folder: str, words: int = WORDS, percent: int = PE
     for row in summed_segments(told.where("segment is not null").select("segment", "blob"), ["segment"], size, "<i4").toLocalIterator():
         total[row.segment * size : (row.segment + 1) * size] = np.frombuffer(un.decompress(row.blob), "<i4")
     mean = float(total.mean())
-    floor = mean + 6 * mean**0.5 + 8
+    floor = mean + 3 * mean**0.5 + 4
     common = np.where(total <= floor, 0, np.minimum(255, 1 + 8 * np.log2(np.maximum(total, 1) / floor))).astype(np.uint8)
-    sketch = spark.sparkContext.broadcast(common)  # 4 MB at most
+    sketch = spark.sparkContext.broadcast(common)  # 16 MB at most
     del total
 
     def columns(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -127,10 +127,10 @@ def links_of(docs: DataFrame, folder: str, words: int = WORDS, percent: int = PE
             if keys:
                 yield pd.DataFrame({"key": np.concatenate(keys).view(np.int64), "node": np.concatenate(nodes), "n": np.concatenate(sizes)})
 
+    # A column that one row has alone makes no pair. One exchange serves both the copies of a row and the count.
     entries = chosen.mapInPandas(columns, "key long, node long, n int").repartition("key").dropDuplicates(["key", "node"])
-    # A column that one row has alone makes no pair.
-    shared = entries.groupBy("key").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("key")
-    entries = stored(entries.join(shared, "key"), f"{folder}/entries")
+    entries = entries.withColumn("rows", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("rows > 1").drop("rows")
+    entries = stored(entries, f"{folder}/entries")
 
     profiles = told.where("segment is null and node is not null").groupBy("node").agg(F.first("profile").alias("profile"), F.first("n").alias("n"))
 
@@ -146,7 +146,7 @@ def links_of(docs: DataFrame, folder: str, words: int = WORDS, percent: int = PE
         """Links among distinct pairs (a, b)."""
         pa_, pb = (profiles.select(F.col("node").alias(x), F.col("profile").alias(f"p{x}"), F.col("n").alias(f"n{x}")) for x in "ab")
         left = stored(pairs.join(pa_, "a").join(pb, "b").where(possible("pa", "pb", "na", "nb")).select("a", "b", "na", "nb"), f"{folder}/{name}-left")
-        ids = left.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        ids = left.select(F.col("a").alias("node")).distinct().unionByName(left.select(F.col("b").alias("node")).distinct()).distinct()
         filter_bits = int(np.clip(rows.bit_length() + 4, 16, 26))
 
         def bloom(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
