@@ -38,6 +38,7 @@ def prepare(df: DataFrame) -> DataFrame:
     return out.withColumn("locked", F.coalesce(F.col("vehicle_speed") == 0, F.lit(False)) | ends)
 
 
+@np.errstate(all="ignore")
 def solve_qp(h, g, a, b, c, d, steps: int = 60, tol: float = 1e-9):
     """Least 1/2 x'Hx + g'x with Ax = b and Cx <= d, by a primal-dual interior-point method; None if it doesn't converge."""
     u, s, vt = np.linalg.svd(a, full_matrices=True) if len(a) else (np.zeros((0, 0)), np.zeros(0), np.eye(len(g)))
@@ -59,6 +60,8 @@ def solve_qp(h, g, a, b, c, d, steps: int = 60, tol: float = 1e-9):
         if max(np.abs(rd).max(), np.abs(rp).max() if len(rp) else 0, mu) < tol * scale:
             return x0 + z @ y
         kkt = hz + cz.T @ ((lam / sl)[:, None] * cz)
+        if not np.isfinite(kkt).all():
+            return None
         try:
             factor = np.linalg.cholesky(kkt + 1e-12 * np.eye(len(kkt)))
         except np.linalg.LinAlgError:
@@ -81,6 +84,8 @@ def solve_qp(h, g, a, b, c, d, steps: int = 60, tol: float = 1e-9):
         t = 0.995 * min(longest(sl, ds), longest(lam, dl)) if len(sl) else 1.0
         y, sl, lam = y + t * dy, np.maximum(sl + t * ds, 1e-14), np.maximum(lam + t * dl, 1e-14)
     rp = cz @ y - dz
+    if not np.isfinite(y).all():
+        return None
     return x0 + z @ y if len(rp) == 0 or (rp.max() < 1e-6 * scale and np.abs(hz @ y + gz + cz.T @ lam).max() < 1e-5 * scale) else None
 
 
