@@ -8,7 +8,10 @@ from pyspark.sql import functions as F
 from waymark.functions.columns import number, require_columns, resolve_columns, to_mps
 
 STANDARD = ["timestep_time", "vehicle_id", "vehicle_speed", "vehicle_accel", "vehicle_jerk", "vehicle_odometer", "vehicle_type", "vehicle_x", "vehicle_y"]
-W = Window.partitionBy("vehicle_id").orderBy("timestep_time")
+
+
+def order():
+    return Window.partitionBy("vehicle_id").orderBy("timestep_time")
 
 
 def sanitize(df: DataFrame) -> DataFrame:
@@ -19,7 +22,7 @@ def sanitize(df: DataFrame) -> DataFrame:
 
 def dt_stats(df: DataFrame) -> DataFrame:
     """Least, median and greatest time step, and how many aren't positive."""
-    dt = df.select((F.col("timestep_time") - F.lag("timestep_time").over(W)).alias("dt")).where("dt is not null")
+    dt = df.select((F.col("timestep_time") - F.lag("timestep_time").over(order())).alias("dt")).where("dt is not null")
     return dt.agg(F.min("dt").alias("dt_min"), F.median("dt").alias("dt_median"), F.max("dt").alias("dt_max"), F.count_if(F.col("dt") <= 0).alias("n_nonpos"))
 
 
@@ -31,9 +34,9 @@ def speed_p95(df: DataFrame) -> DataFrame:
 
 def diff_accel(df: DataFrame) -> DataFrame:
     """vehicle_accel from speed by each row's own time step; the first is 0, a step that isn't positive gives null."""
-    dt = F.col("timestep_time") - F.lag("timestep_time").over(W)
-    first = F.lag(F.lit(1)).over(W).isNull()
-    return df.withColumn("vehicle_accel", F.when(first, 0.0).when(dt > 0, (F.col("vehicle_speed") - F.lag("vehicle_speed").over(W)) / dt))
+    dt = F.col("timestep_time") - F.lag("timestep_time").over(order())
+    first = F.lag(F.lit(1)).over(order()).isNull()
+    return df.withColumn("vehicle_accel", F.when(first, 0.0).when(dt > 0, (F.col("vehicle_speed") - F.lag("vehicle_speed").over(order())) / dt))
 
 
 def integrate_speed(df: DataFrame, initial: float = 0.0, clip: bool = True) -> DataFrame:
@@ -41,10 +44,10 @@ def integrate_speed(df: DataFrame, initial: float = 0.0, clip: bool = True) -> D
 
     The recursion max(0, v + a dt) is S_t - min(0, least S so far) over the steps that count, S being the running sum.
     """
-    dt = F.col("timestep_time") - F.lag("timestep_time").over(W)
+    dt = F.col("timestep_time") - F.lag("timestep_time").over(order())
     valid = F.coalesce(dt > 0, F.lit(False)) & F.col("vehicle_accel").isNotNull()
-    first = F.lag(F.lit(1)).over(W).isNull()
-    upto = W.rowsBetween(Window.unboundedPreceding, 0)
+    first = F.lag(F.lit(1)).over(order()).isNull()
+    upto = order().rowsBetween(Window.unboundedPreceding, 0)
     out = df.withColumn("_ok", valid & ~first).withColumn("_s", F.when(F.col("_ok"), F.col("vehicle_accel") * dt).otherwise(0.0))
     out = out.withColumn("_s", F.lit(float(initial)) + F.sum("_s").over(upto))
     low = F.least(F.lit(0.0), F.coalesce(F.min(F.when(F.col("_ok"), F.col("_s"))).over(upto), F.lit(0.0)))
@@ -66,9 +69,9 @@ def enforce(df: DataFrame, prefer: str = "speed", initial: float = 0.0, clip: bo
 
 def odometer(df: DataFrame) -> DataFrame:
     """vehicle_odometer: running sum of each row's speed times its own step; steps that aren't positive or speeds missing add nothing."""
-    dt = F.col("timestep_time") - F.lag("timestep_time").over(W)
+    dt = F.col("timestep_time") - F.lag("timestep_time").over(order())
     step = F.when((dt > 0) & F.col("vehicle_speed").isNotNull(), F.col("vehicle_speed") * dt).otherwise(0.0)
-    return df.withColumn("_d", step).withColumn("vehicle_odometer", F.sum("_d").over(W.rowsBetween(Window.unboundedPreceding, 0))).drop("_d")
+    return df.withColumn("_d", step).withColumn("vehicle_odometer", F.sum("_d").over(order().rowsBetween(Window.unboundedPreceding, 0))).drop("_d")
 
 
 def standardize(df: DataFrame, speed_unit: str = "m/s", prefer: str = "speed", initial: float = 0.0, clip: bool = True, keep_jerk: bool = False) -> tuple[DataFrame, DataFrame]:
