@@ -82,9 +82,22 @@ def texts(batch) -> list[str | None]:
     return [x if isinstance(x, str) else None for x in batch]
 
 
-def vector_rows(counts: np.ndarray, segments: int, compressor) -> list[bytes]:
-    """A count vector cut into equal segments, each packed; empty segments give b''."""
-    return [compressor.compress(np.ascontiguousarray(part).tobytes()) if part.any() else b"" for part in np.split(counts, segments)]
+def vector_rows(counts: np.ndarray, segments: int, compressor, dtype: str | None = None) -> list[bytes]:
+    """A count vector cut into equal segments, each packed as dtype; empty segments give b''."""
+    return [compressor.compress(part.astype(dtype or part.dtype).tobytes()) if part.any() else b"" for part in np.split(counts, segments)]
+
+
+def trim() -> None:
+    """Gives memory that a worker no longer uses back to the system: workers live on and share an executor's limit."""
+    import ctypes
+
+    import pyarrow
+
+    pyarrow.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
 
 
 def summed_segments(df: DataFrame, keys: list[str], size: int, dtype: str = "<i8") -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waymark.llm.common import blank_words, remove, shared_folder, stored, summed_segments, table, texts, vector_rows
+from waymark.llm.common import blank_words, remove, shared_folder, stored, summed_segments, table, texts, trim, vector_rows
 
 ALPHA = 0.1
 CLASSES, OWN = 1024, 512  # classes, and those with one word
@@ -244,6 +244,7 @@ def score(docs: DataFrame) -> DataFrame:
             grown[: len(total)] += total[: len(grown)]
             total = grown
         yield from flush()
+        trim()
 
     counts = stored(chosen.mapInPandas(count_words, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")), f"{folder}/counts")
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
@@ -290,6 +291,8 @@ def score(docs: DataFrame) -> DataFrame:
         add()
         packer = zstandard.ZstdCompressor(level=1)
         yield pd.DataFrame([(k, s, b) for k, t in enumerate(tables) for s, b in enumerate(vector_rows(t, 16 if k else 1, packer)) if b], columns=["part", "segment", "blob"])
+        del tables, held
+        trim()
 
     un = zstandard.ZstdDecompressor()
     made = stored(chosen.mapInPandas(learn_counts, "part int, segment int, blob binary"), f"{folder}/tables")
@@ -356,6 +359,7 @@ def score(docs: DataFrame) -> DataFrame:
                     "base": np.add.reduceat(base, starts), "mixed": np.add.reduceat(bits + inner, starts), "rare": rare_h, "times": rare_n,
                 })
                 row += len(pdf)
+        trim()
 
     judged = stored(chosen.mapInPandas(judge, "row long, doc_id long, held_out boolean, n_tokens long, n_bytes long, known long, base double, mixed double, rare array<long>, times array<int>"), f"{folder}/judged")
     rare = judged.select("row", F.explode(F.arrays_zip("rare", "times")).alias("e")).select("row", F.col("e.rare").alias("h"), F.col("e.times").alias("times"))

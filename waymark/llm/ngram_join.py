@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from waymark.llm.common import blank_words, distinct, remove, shared_folder, stored, summed_segments, table, texts, vector_rows, word_hashes
+from waymark.llm.common import blank_words, distinct, remove, shared_folder, stored, summed_segments, table, texts, trim, vector_rows, word_hashes
 from waymark.llm.components import components
 
 WORDS, PERCENT, BLOCKS, SEGMENTS = 5, 80, 128, 64
@@ -69,7 +69,7 @@ def bit_set(ids: np.ndarray, bits: int) -> np.ndarray:
     return np.packbits(out)
 
 
-def links_of(docs: DataFrame, folder: str, words: int = WORDS, percent: int = PERCENT, pivots: int = 3) -> tuple[DataFrame, DataFrame, DataFrame]:
+def links_of(docs: DataFrame, folder: str, words: int = WORDS, percent: int = PERCENT, pivots: int = 3, small: int = 64, block: int = 256) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(members: doc_id, node, n), (links between nodes: a, b, overlap), (components of linked nodes: node, component by least doc_id's node order)."""
     spark = docs.sparkSession
     chosen = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
@@ -77,7 +77,13 @@ def links_of(docs: DataFrame, folder: str, words: int = WORDS, percent: int = PE
     bits = int(np.clip(rows.bit_length() + 6, 18, 24))
 
     def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts, seen = np.zeros(1 << bits, np.int32), set()
+        counts, seen, packer = np.zeros(1 << bits, np.uint16), set(), zstandard.ZstdCompressor(level=1)
+
+        def told_counts() -> pd.DataFrame:
+            blobs = [(k, b) for k, b in enumerate(vector_rows(counts, SEGMENTS, packer, "<i4")) if b]
+            none = pd.array([None] * len(blobs), "Int64")
+            return pd.DataFrame({"doc_id": none, "node": none, "n": np.int64(0), "profile": None, "segment": pd.array([k for k, _ in blobs], "Int32"), "blob": [b for _, b in blobs]})
+
         for pdf in batches:
             out = []
             for doc, text in zip(pdf["doc_id"], texts(pdf["text"])):
@@ -89,12 +95,15 @@ def links_of(docs: DataFrame, folder: str, words: int = WORDS, percent: int = PE
                 out.append((doc, node, len(s), profile(s), None, None))
                 if node not in seen:
                     seen.add(node)
+                    if len(seen) % 65_000 == 0:  # before a cell can overflow
+                        yield told_counts()
+                        counts[:] = 0
                     counts[(s >> np.uint64(64 - bits)).astype(np.int64)] += 1  # a row counts once in a cell
             made = pd.DataFrame(out, columns=["doc_id", "node", "n", "profile", "segment", "blob"])
             yield made.assign(doc_id=made["doc_id"].astype("Int64"), node=pd.array(made["node"].tolist(), "Int64"), segment=made["segment"].astype("Int32"))
-        packer = zstandard.ZstdCompressor(level=1)
-        blobs = [(k, b) for k, b in enumerate(vector_rows(counts, SEGMENTS, packer)) if b]
-        yield pd.DataFrame({"doc_id": pd.array([None] * len(blobs), "Int64"), "node": pd.array([None] * len(blobs), "Int64"), "n": np.int64(0), "profile": None, "segment": pd.array([k for k, _ in blobs], "Int32"), "blob": [b for _, b in blobs]})
+        yield told_counts()
+        del counts
+        trim()
 
     told = stored(chosen.mapInPandas(describe, "doc_id long, node long, n long, profile binary, segment int, blob binary"), f"{folder}/told")
     members = told.where("segment is null").select("doc_id", "node", "n")
@@ -126,6 +135,7 @@ def links_of(docs: DataFrame, folder: str, words: int = WORDS, percent: int = PE
                 sizes.append(np.full(len(first), len(s), np.int32))
             if keys:
                 yield pd.DataFrame({"key": np.concatenate(keys).view(np.int64), "node": np.concatenate(nodes), "n": np.concatenate(sizes)})
+        trim()
 
     # A column that one row has alone makes no pair. One exchange serves both the copies of a row and the count.
     entries = chosen.mapInPandas(columns, "key long, node long, n int").repartition("key").dropDuplicates(["key", "node"])
@@ -189,22 +199,59 @@ def links_of(docs: DataFrame, folder: str, words: int = WORDS, percent: int = PE
         return links
 
     sizes_fit = "100 * least(n, m) >= {0} * greatest(n, m)".format(percent)
-    # Pivots: for each column its rows that come first by three hashes.
-    heads = entries.groupBy("key").agg(*[F.min(F.struct(F.xxhash64("node", F.lit(j)).alias("h"), F.col("node").alias("pivot"), F.col("n").alias("m"))).alias(f"h{j}") for j in range(pivots)])
-    heads = heads.select("key", F.explode(F.array_distinct(F.array(*[F.struct(f"h{j}.pivot", f"h{j}.m") for j in range(pivots)]))).alias("h")).select("key", "h.*")
-    star = entries.join(heads, "key").where("node <> pivot").where(sizes_fit)
-    star = stored(star.groupBy(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).agg(F.count(F.lit(1)).alias("shared")), f"{folder}/star")
-    first = verified(star.select("a", "b"), "first")
+    def star(rows_of: DataFrame, order: list, name: str) -> DataFrame:
+        """Pairs (a, b) of each column's rows with its pivots, the first rows by each order, that are in another component."""
+        picks = [F.max(F.struct(o.alias("h"), F.col("node").alias("pivot"), F.col("n").alias("m"), F.col("component").alias("apart"))).alias(f"h{j}") for j, o in enumerate(order)]
+        heads = rows_of.groupBy("key").agg(*picks)
+        heads = heads.select("key", F.explode(F.array_distinct(F.array(*[F.struct(f"h{j}.pivot", f"h{j}.m", f"h{j}.apart") for j in range(len(order))]))).alias("h")).select("key", "h.*")
+        made = rows_of.join(heads, "key").where("component <> apart").where(sizes_fit)
+        made = made.groupBy(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).agg(F.count(F.lit(1)).alias("shared"))
+        return stored(made.select("a", "b"), f"{folder}/{name}")
+
+    # Each row of a column pairs with the column's pivots, its first rows by a few hashes.
+    tested = star(entries.withColumn("component", F.col("node")), [F.xxhash64("node", F.lit(j)) for j in range(pivots)], "star")
+    first = verified(tested, "first")
     tied = stored(components(first, f"{folder}/tied"), f"{folder}/tied-nodes")
-
-    # Columns whose rows are in several components: their remaining pairs, all of them.
-    marked = entries.join(tied, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("component"))
-    marked = stored(marked, f"{folder}/marked")
-    mixed = marked.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
-    open_rows = marked.join(mixed, "key")
-    left, right = open_rows, open_rows.select("key", F.col("node").alias("other"), F.col("n").alias("m"), F.col("component").alias("apart"))
-    rest = left.join(right, "key").where("node < other and component <> apart").where(sizes_fit)
-    rest = rest.groupBy(F.col("node").alias("a"), F.col("other").alias("b")).agg(F.count(F.lit(1)).alias("shared")).join(star, ["a", "b"], "left_anti")
+    marked = stored(entries.join(tied, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("component")), f"{folder}/marked")
+
+    # Columns whose rows are in several components: their remaining pairs, all of them. Columns of up to `small` rows form them
+    # in a join, larger ones block by block in units of two row blocks, which give only pairs within the bounds. A pair is
+    # formed in the first of its large columns alone.
+    per_key = marked.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("rows")).where("x <> y").select("key", "rows")
+    open_rows = stored(marked.join(per_key, "key"), f"{folder}/open")
+    left = open_rows.where(F.col("rows") <= small).drop("rows")
+    right = left.select("key", F.col("node").alias("other"), F.col("n").alias("m"), F.col("component").alias("apart"))
+    rest = left.join(right, "key").where("node < other and component <> apart").where(sizes_fit).select(F.col("node").alias("a"), F.col("other").alias("b"))
+    large = open_rows.where(F.col("rows") > small)
+    if not large.isEmpty():
+        about = large.groupBy("node").agg(F.sort_array(F.collect_set("key")).alias("keys")).join(profiles.select("node", "profile"), "node")
+        placed = large.withColumn("block", F.floor((F.row_number().over(Window.partitionBy("key").orderBy("n", "node")) - 1) / block).cast("int")).withColumn("last", F.floor((F.col("rows") - 1) / block).cast("int"))
+        placed = placed.join(about, "node").withColumn("with", F.explode(F.sequence(F.lit(0), F.col("last"))))
+        placed = placed.select("key", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "node", "n", "component", "keys", "profile")
+
+        def unit(key, pdf: pd.DataFrame) -> pd.DataFrame:
+            own, i, j = key
+            one, two = pdf[pdf["block"] == i], pdf[pdf["block"] == j]
+            cells = [np.frombuffer(b"".join(map(bytes, x["profile"])), np.uint8).reshape(-1, BLOCKS) for x in (one, two)]
+            sizes = [x["n"].to_numpy(np.int64) for x in (one, two)]
+            nodes = [x["node"].to_numpy(np.int64) for x in (one, two)]
+            apart = [x["component"].to_numpy(np.int64) for x in (one, two)]
+            keys = [[frozenset(k.tolist()) for k in x["keys"]] for x in (one, two)]
+            out = []
+            for k in range(len(one)):
+                m, n = sizes[0][k], sizes[1]
+                bound = np.minimum(cells[0][k], cells[1]).sum(1, dtype=np.int64)
+                bound = np.where((cells[1].max(1) == 255) | (cells[0][k].max() == 255), np.minimum(m, n), bound)
+                fits = (100 * np.minimum(m, n) >= percent * np.maximum(m, n)) & ((100 + percent) * bound >= percent * (m + n)) & (apart[1] != apart[0][k])
+                fits &= (nodes[1] > nodes[0][k]) if i == j else (nodes[1] != nodes[0][k])
+                for q in np.flatnonzero(fits).tolist():
+                    if min(keys[0][k] & keys[1][q]) == own:
+                        x, y = nodes[0][k], nodes[1][q]
+                        out.append((min(x, y), max(x, y)))
+            return pd.DataFrame(out, columns=["a", "b"])
+
+        rest = rest.unionByName(placed.groupBy("key", "i", "j").applyInPandas(unit, "a long, b long"))
+    rest = rest.distinct().join(tested, ["a", "b"], "left_anti")
     second = verified(rest.select("a", "b"), "second")
     links = first.unionByName(second)
     return members, links, components(links, f"{folder}/all")

@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waymark.llm.common import table, texts
+from waymark.llm.common import table, texts, trim
 from waymark.llm.tokens import pieces
 
 SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
@@ -75,16 +75,18 @@ def pack(
     end = np.array([end_id], "<u4").tobytes()
 
     def cuts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        library = pieces(tokenizer, cut)
+        trim()
+        library = pieces(tokenizer, cut, limit=150_000)
         for pdf in batches:
             out: list[tuple] = []
-            for doc, ids in zip(pdf["doc_id"], library.batch(texts(pdf["text"]))):
+            for doc, ids in zip(pdf["doc_id"], library.batch(texts(pdf["text"]), 1 << 21)):
                 ids += end
                 for piece, at in enumerate(range(0, len(ids), 4 * longest)):
                     part = ids[at : at + 4 * longest]
                     out.append((doc, piece, at // 4, len(part) // 4, zlib.crc32(part)))
             made = pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
             yield made.assign(doc_id=made["doc_id"].astype("Int64"))
+        trim()
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         first, held, rows = TaskContext.get().partitionId() << 40, [], 0

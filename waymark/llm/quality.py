@@ -21,7 +21,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waymark.llm.common import blank_words, distinct, remove, shared_folder, stored, summed_segments, table, texts, vector_rows, word_hashes
+from waymark.llm.common import blank_words, distinct, remove, shared_folder, stored, summed_segments, table, texts, trim, vector_rows, word_hashes
 
 BITS, SEGMENTS = 20, 16
 POOLS = ("target", "low", "toxic")
@@ -88,6 +88,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labels: int = 500_000, significa
 
     def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame([(at, *buckets(text)[1]) for at, text in labelled_texts(batches, all_ids.value)], columns=["at", *names])
+        trim()
 
     seen = chosen.mapInPandas(sketch, "at int, " + ", ".join(f"{n} long" for n in names))
     seen = seen.groupBy("at").agg(*[F.min(n).alias(n) for n in names]).toPandas().sort_values("at")  # max_labels rows at most
@@ -105,6 +106,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_labels: int = 500_000, significa
             np.add.at(counts[pools[at]], buckets(text)[0], 1)
         packer = zstandard.ZstdCompressor(level=1)
         yield pd.DataFrame([(p, s, blob) for p in range(len(POOLS)) for s, blob in enumerate(vector_rows(counts[p], SEGMENTS, packer))], columns=["pool", "segment", "blob"])
+        del counts
+        trim()
 
     made = chosen.mapInPandas(count, "pool int, segment int, blob binary")
     total = np.zeros((len(POOLS), 1 << BITS), np.int64)

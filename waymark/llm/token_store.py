@@ -35,7 +35,7 @@ SEEK = np.dtype([("packed", "<u4"), ("size", "<u4"), ("sum", "<u4")])
 class Writer:
     """Writes documents into a stream; frames close once they hold frame_bytes of ids. A frame has one document at least."""
 
-    def __init__(self, stream, width: int, frame_bytes: int = 1 << 18, level: int = 3):
+    def __init__(self, stream, width: int, frame_bytes: int = 1 << 18, level: int = 1):
         self.stream, self.width, self.frame_bytes = stream, width, frame_bytes
         self.packer = zstandard.ZstdCompressor(level=level)
         self.seek, self.index, self.held, self.size = [], [], [], 0

@@ -24,7 +24,7 @@ WHOLE = {"drop": "[\x1c-\x1f]", "lead": "[\x1c-\x1f\t\v\f\r\u0085   -  
 class Pieces:
     """piece -> its ids as little-endian unsigned 32-bit integers, in two generations of bounded size."""
 
-    def __init__(self, path: str, cut: str, special_as_text: bool = True, limit: int = 600_000):
+    def __init__(self, path: str, cut: str, special_as_text: bool = True, limit: int = 350_000):
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = special_as_text
         self.kind, self.limit = cut, limit
@@ -101,7 +101,7 @@ class Pieces:
                 out[k] = every[a:b]
         return out
 
-    def batch(self, texts: list[str | None], chars: int = 1 << 21) -> list[bytes]:
+    def batch(self, texts: list[str | None], chars: int = 1 << 23) -> list[bytes]:
         """Ids of each text; missing and empty ones have none. About `chars` characters are worked on at once."""
         out: list[bytes] = []
         group, size = [], 0
@@ -117,9 +117,9 @@ class Pieces:
 _KEPT: dict[tuple, Pieces] = {}
 
 
-def pieces(path: str, cut: str, special_as_text: bool = True) -> Pieces:
+def pieces(path: str, cut: str, special_as_text: bool = True, limit: int = 350_000) -> Pieces:
     """One per Python worker."""
-    key = (path, cut, special_as_text)
+    key = (path, cut, special_as_text, limit)
     if key not in _KEPT:
         _KEPT[key] = Pieces(*key)
     return _KEPT[key]
