@@ -17,10 +17,16 @@ LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 ALNUM = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256)).translate(LOWER)
 
 
+#: Long texts don't fill a worker: a batch ends at this size too.
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table of sf_dir. Texts go to Python in batches of 2,000 rows, unless the session sets another size than the default."""
+    """A table of sf_dir. Texts go to Python in batches of 2,000 rows or 4 MB, what comes first, unless the session sets its own sizes."""
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    if not spark.sparkContext.getConf().contains(BATCH_BYTES):
+        spark.conf.set(BATCH_BYTES, str(4 << 20))
     return spark.read.parquet(f"{str(sf_dir).rstrip('/')}/{name}.parquet")
 
 

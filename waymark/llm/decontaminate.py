@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waymark.llm.common import plain_words, table, texts
+from waymark.llm.common import plain_words, table, texts, trim
 
 WINDOW = 13
 SCHEMA = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
@@ -121,6 +121,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_byte
                     out.append(judged(doc, len(words), int(mask.sum()), items))
                 made = pd.DataFrame(out, columns=[c.split()[0] for c in SCHEMA.split(", ")])
                 yield made.assign(doc_id=made["doc_id"].astype("Int64"))
+                trim()
 
         return chosen.mapInPandas(one_pass, SCHEMA)
 
@@ -186,5 +187,6 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_byt
                 n = int(search(words, tables)[0].sum())
                 out.append(n > 0 and 20 * n >= len(words))
             yield pd.Series(out, dtype=bool)
+            trim()
 
     return docs.where(~contaminated(F.col("text").cast("string")))

@@ -79,14 +79,14 @@ def pack(
         library = pieces(tokenizer, cut, limit=150_000)
         for pdf in batches:
             out: list[tuple] = []
-            for doc, ids in zip(pdf["doc_id"], library.batch(texts(pdf["text"]), 1 << 21)):
+            for doc, ids in zip(pdf["doc_id"], library.batch(texts(pdf["text"]), 1 << 20)):
                 ids += end
                 for piece, at in enumerate(range(0, len(ids), 4 * longest)):
                     part = ids[at : at + 4 * longest]
                     out.append((doc, piece, at // 4, len(part) // 4, zlib.crc32(part)))
             made = pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
             yield made.assign(doc_id=made["doc_id"].astype("Int64"))
-        trim()
+            trim()
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         first, held, rows = TaskContext.get().partitionId() << 40, [], 0

@@ -148,17 +148,19 @@ def weigh(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], temperature: fl
     sent = spark.sparkContext.broadcast(model)
 
     @F.pandas_udf("log_weight double, p_target double, draw double")
-    def weights(doc_id: pd.Series, text: pd.Series) -> pd.DataFrame:
+    def weights(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         table, shares = sent.value
-        out = np.empty((len(text), 3))
         prior = max(float(shares[0]), 1e-9)
-        for k, (doc, t) in enumerate(zip(doc_id, texts(text))):
-            at = buckets(t)[0]
-            logs = [math.log(max(float(p), 1e-12)) + float(table[i, at].sum(dtype=np.float64)) for i, p in enumerate(shares[1:])]
-            top = max(math.log(prior), *logs)
-            raw = top + math.log(math.exp(math.log(prior) - top) + sum(math.exp(x - top) for x in logs))
-            out[k] = -raw, prior * math.exp(-raw) if raw < 700 else 0.0, -raw + temperature * gumbel(doc, t, seed)
-        return pd.DataFrame(out, columns=["log_weight", "p_target", "draw"])
+        for doc_id, text in batches:
+            out = np.empty((len(text), 3))
+            for k, (doc, t) in enumerate(zip(doc_id, texts(text))):
+                at = buckets(t)[0]
+                logs = [math.log(max(float(p), 1e-12)) + float(table[i, at].sum(dtype=np.float64)) for i, p in enumerate(shares[1:])]
+                top = max(math.log(prior), *logs)
+                raw = top + math.log(math.exp(math.log(prior) - top) + sum(math.exp(x - top) for x in logs))
+                out[k] = -raw, prior * math.exp(-raw) if raw < 700 else 0.0, -raw + temperature * gumbel(doc, t, seed)
+            yield pd.DataFrame(out, columns=["log_weight", "p_target", "draw"])
+            trim()
 
     return docs.select("*", weights(F.col("doc_id").cast("long"), F.col("text").cast("string")).alias("_w")).select(*docs.columns, "_w.*")
 

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waymark.llm.common import table, texts
+from waymark.llm.common import table, texts, trim
 
 
 def either_case(word: str) -> str:
@@ -161,6 +161,7 @@ def scan(docs: DataFrame) -> DataFrame:
                 out.append((doc, *count, hashlib.sha256(told(base).encode()).hexdigest(), told(base + more)))
             made = pd.DataFrame(out, columns=[c.split()[0] for c in SCHEMA.split(", ")])
             yield made.assign(doc_id=made["doc_id"].astype("Int64"))
+            trim()
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(scanned, SCHEMA)
 
@@ -184,8 +185,10 @@ def mask(docs: DataFrame) -> DataFrame:
     """docs with the secrets of column text masked; other columns stay as they are."""
 
     @F.pandas_udf("string")
-    def replaced(text: pd.Series) -> pd.Series:
-        return pd.Series([masked(t) for t in texts(text)], dtype=object)
+    def replaced(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for text in batches:
+            yield pd.Series([masked(t) for t in texts(text)], dtype=object)
+            trim()
 
     return docs.withColumn("text", replaced(F.col("text").cast("string")))
 
