@@ -60,7 +60,7 @@ def best_fit(lengths: np.ndarray, tokens: int, documents: int, attention: int, w
 
 def pack(
     docs: DataFrame, tokenizer: str, cut: str = "drop", end_id: int = 1, sequence: int = 4096, max_documents: int | None = None, max_attention: int | None = None,
-    weights: tuple[float, float, float] = (1.0, 1e-6, 1e-6), rule: str = "norm", block: int = 32_768,
+    weights: tuple[float, float, float] = (1.0, 1e-6, 1e-6), rule: str = "norm", block: int = 32_768, lean: bool = False,
 ) -> DataFrame:
     """A row for each piece of docs (doc_id, text): where it stands in which sequence.
 
@@ -68,7 +68,7 @@ def pack(
     A task packs blocks of at most `block` pieces, so memory doesn't follow the partition, and a block loses one unfilled
     sequence or so. max_documents and max_attention bound each sequence; None leaves the dimension free (a document
     may then fill a sequence alone, so a bound below sequence**2 also shortens pieces). Null text is empty: one piece with
-    end_id alone. Repeated rows are packed each. Null doc_id stays null. No rows give no rows. Other columns are ignored.
+    end_id alone. lean makes workers remember fewer pieces and give memory back after each batch: slower, the same rows. Repeated rows are packed each. Null doc_id stays null. No rows give no rows. Other columns are ignored.
     """
     documents, attention = max_documents or sequence, max_attention or sequence * sequence
     longest = min(sequence, int(attention**0.5))
@@ -76,17 +76,19 @@ def pack(
 
     def cuts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         trim()
-        library = pieces(tokenizer, cut, limit=150_000)
+        library = pieces(tokenizer, cut, limit=150_000 if lean else 350_000)
         for pdf in batches:
             out: list[tuple] = []
-            for doc, ids in zip(pdf["doc_id"], library.batch(texts(pdf["text"]), 1 << 20)):
+            for doc, ids in zip(pdf["doc_id"], library.batch(texts(pdf["text"]), 1 << (20 if lean else 23))):
                 ids += end
                 for piece, at in enumerate(range(0, len(ids), 4 * longest)):
                     part = ids[at : at + 4 * longest]
                     out.append((doc, piece, at // 4, len(part) // 4, zlib.crc32(part)))
             made = pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
             yield made.assign(doc_id=made["doc_id"].astype("Int64"))
-            trim()
+            if lean:
+                trim()
+        trim()
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         first, held, rows = TaskContext.get().partitionId() << 40, [], 0
