@@ -2,7 +2,8 @@
 
 Hashed n-gram generative models (which words, word pairs, word shapes and repeats a document has) are fitted to the target,
 labelled rows of good quality that aren't toxic, and to what the raw text mixes in: labelled rows of low quality and toxic
-ones. Labelled near copies count once. A bucket tells two models apart only where a likelihood-ratio test finds its shares
+ones. Labelled near copies (Jaccard similarity of their sets of five-word shingles 0.8 or more) count once; every other
+labelled row counts. A bucket tells two models apart only where a likelihood-ratio test finds its shares
 to differ; chance counts of rare n-grams have no say. With the labels' shares as weights of the mixture the importance
 weight of a document is p(target) / p(raw). Gumbel noise is added to its logarithm and the top k documents are kept, k being
 the labels' share of the target times the number of documents.
@@ -27,7 +28,8 @@ BITS, SEGMENTS = 20, 16
 POOLS = ("target", "low", "toxic")
 #: Buckets of a repeated word and a repeated line.
 REPEATS = np.array([0, 1])
-SKETCHES = 4
+SHINGLE, SIMILAR = 5, 0.8  # words of a shingle; similarity from which labelled rows are near copies
+BANDS = 6  # of two min-hashes each: a pair at the threshold shares one with 1 - 0.36 ** 6 = 0.998
 MIX = np.uint64(0x9E3779B97F4A7C15)  # an odd 64-bit constant for hashing
 
 
@@ -41,16 +43,77 @@ def shapes(text: str | None) -> list[bytes]:
     return sorted(set(RUNS.sub(rb"\1", text.encode("utf-8", "surrogatepass").translate(SHAPE)).split())) if text else []
 
 
-def buckets(text: str | None) -> tuple[np.ndarray, list[int]]:
-    """Buckets of the distinct words, pairs of adjacent words and word shapes of the whole text, one for each repeat of a word by the next or of a line beyond what prose has; its sketches, which near copies mostly share."""
+def buckets(text: str | None) -> np.ndarray:
+    """Buckets of the distinct words, pairs of adjacent words and word shapes of the whole text, one for each repeat of a word by the next or of a line beyond what prose has."""
     h = word_hashes(blank_words(text))
     if not len(h):
-        return np.zeros(0, np.int64), [0] * SKETCHES
+        return np.zeros(0, np.int64)
     pairs = (h[:-1] * MIX ^ h[1:]) * MIX if len(h) > 1 else h
     lines = text.split("\n")
     repeats = np.repeat(REPEATS, [max(0, int((h[:-1] == h[1:]).sum()) - len(h) // 50), max(0, len(lines) - len(set(lines)) - len(lines) // 10)])
     has = distinct(np.concatenate([h * MIX, pairs, word_hashes(shapes(text)) ^ MIX]) >> np.uint64(64 - BITS)).astype(np.int64)
-    return np.concatenate([has, repeats]), [int((pairs * (MIX + np.uint64(2 * k)) >> np.uint64(1)).min()) for k in range(SKETCHES)]
+    return np.concatenate([has, repeats])
+
+
+def shingles(text: str | None) -> np.ndarray:
+    """Sorted distinct hashes of the five-word shingles; a shorter text is one shingle, an empty one has none."""
+    h = word_hashes(blank_words(text)).astype(np.uint64)
+    if not len(h):
+        return h
+    width = min(SHINGLE, len(h))
+    out = h[: len(h) - width + 1]
+    for k in range(1, width):
+        out = (out ^ out >> np.uint64(29)) * MIX + h[k : len(h) - width + 1 + k]
+    return distinct((out ^ out >> np.uint64(32)) * MIX)
+
+
+def bands(has: np.ndarray) -> list[int]:
+    """Each band's two min-hashes as one number: what near copies mostly share."""
+    least = [int(((has ^ has >> np.uint64(31)) * (MIX + np.uint64(2 * k))).min()) for k in range(2 * BANDS)]
+    return [(least[2 * k] * int(MIX) + least[2 * k + 1]) >> 1 & (1 << 63) - 1 for k in range(BANDS)]
+
+
+def linked(values: pd.DataFrame) -> np.ndarray:
+    """For each row the least place of the rows that it shares a column's value with, at once or through others."""
+    groups = [values.groupby(n).ngroup().to_numpy() for n in values.columns]
+    label = np.arange(len(values))
+    while True:
+        new = label.copy()
+        for g in groups:
+            least = np.full(len(values), len(values))
+            np.minimum.at(least, g, new)
+            new = least[g]
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new
+
+
+def similar(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two sorted sets reach the similarity."""
+    if min(len(a), len(b)) < SIMILAR * max(len(a), len(b)):
+        return False
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both >= SIMILAR * (len(a) + len(b) - both)
+
+
+def copies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """at and whether the row is a near copy of an earlier one, for rows (part, at, blob) sorted by part and at. Rows that share a band are compared; only rows that are no copies are held, of one part at a time."""
+    part, firsts, known = None, [], {}
+    for pdf in batches:
+        out = []
+        for own, at, blob in zip(pdf["part"].tolist(), pdf["at"].tolist(), pdf["blob"]):
+            if own != part:
+                part, firsts, known = own, [], {}
+            has = np.frombuffer(blob, np.uint64)
+            keys = list(enumerate(bands(has)))
+            copy = any(firsts[k][0] < at and similar(has, firsts[k][1]) for k in dict.fromkeys(k for key in keys for k in known.get(key, ())))
+            if not copy:
+                for key in keys:
+                    known.setdefault(key, []).append(len(firsts))
+                firsts.append((at, has))
+            out.append((at, copy))
+        yield pd.DataFrame(out, columns=["at", "copy"])
 
 
 def labels_of(labels: DataFrame, max_labels: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -73,37 +136,58 @@ def labelled_texts(batches: Iterator[pd.DataFrame], ids: np.ndarray) -> Iterator
             yield int(at[k]), text if isinstance(text, str) else None
 
 
+def left_out(chosen: DataFrame, ids: np.ndarray, pools: np.ndarray) -> np.ndarray:
+    """Places in ids of the labelled rows that are near copies of an earlier row of their pool."""
+    spark = chosen.sparkSession
+    all_ids = spark.sparkContext.broadcast(ids)
+    names = [f"s{k}" for k in range(BANDS)]
+
+    def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found = ((at, shingles(text)) for at, text in labelled_texts(batches, all_ids.value))
+        yield pd.DataFrame([(at, *bands(has)) for at, has in found if len(has)], columns=["at", *names])
+        trim()
+
+    seen = chosen.mapInPandas(sketch, "at int, " + ", ".join(f"{n} long" for n in names))
+    seen = seen.groupBy("at").agg(*[F.min(n).alias(n) for n in names]).toPandas().sort_values("at", ignore_index=True)  # max_labels rows at most
+    at = seen["at"].to_numpy(np.int64)
+    keys = seen[names] ^ np.int64(1 << 61) * pools[at].astype(np.int64)[:, None]  # no band joins two pools
+    part = linked(keys)
+    shared = np.bincount(part, minlength=len(part))[part] > 1
+    if not shared.any():
+        return np.zeros(0, np.int64)
+    open_rows = spark.sparkContext.broadcast((ids[at[shared]], at[shared], part[shared]))
+
+    def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids, at, part = open_rows.value
+        for pdf in batches:
+            out = [(int(part[k]), int(at[k]), shingles(text).tobytes()) for k, text in labelled_texts(iter([pdf]), ids) if text]
+            yield pd.DataFrame(out, columns=["part", "at", "blob"])
+        trim()
+
+    dealt = chosen.mapInPandas(send, "part int, at int, blob binary").where(F.length("blob") > 0).repartition("part").sortWithinPartitions("part", "at", "blob")
+    found = dealt.mapInPandas(copies, "at int, copy boolean").groupBy("at").agg(F.min("copy").alias("copy")).where("copy").select("at").toPandas()
+    return found["at"].to_numpy(np.int64)
+
+
 def fit(docs: DataFrame, labels: DataFrame, max_labels: int = 500_000, significance: float = 25.0) -> tuple[np.ndarray, np.ndarray]:
     """(log ratios of low and toxic to target by bucket, shares of the pools).
 
-    Labels are a bounded sample of max_labels doc_ids (4.5 MB), sent to two passes over the texts: the first gives each labelled
-    row's sketches, and a row that shares one with an earlier row of its pool is left out; the second counts into vectors of fixed size.
+    Labels are a bounded sample of max_labels doc_ids (4.5 MB), sent to the passes over the texts. The first gives each labelled
+    row's bands; the second sends the shingles of rows that share one with another row of their pool to where they are compared.
+    Near copies of an earlier row are left out; all other rows are counted into vectors of fixed size by the last pass.
     """
     spark = docs.sparkSession
     ids, pools, shares = labels_of(labels, max_labels)
     chosen = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    all_ids = spark.sparkContext.broadcast(ids)
-
-    names = [f"s{k}" for k in range(SKETCHES)]
-
-    def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        yield pd.DataFrame([(at, *buckets(text)[1]) for at, text in labelled_texts(batches, all_ids.value)], columns=["at", *names])
-        trim()
-
-    seen = chosen.mapInPandas(sketch, "at int, " + ", ".join(f"{n} long" for n in names))
-    seen = seen.groupBy("at").agg(*[F.min(n).alias(n) for n in names]).toPandas().sort_values("at")  # max_labels rows at most
-    seen["pool"] = pools[seen["at"].to_numpy(np.int64)]
-    copy = np.zeros(len(seen), bool)
-    for n in names:
-        copy |= seen.duplicated(["pool", n]).to_numpy()
-    first = seen["at"].to_numpy(np.int64)[~copy]
+    first = np.ones(len(ids), bool)
+    first[left_out(chosen, ids, pools)] = False
     sent = spark.sparkContext.broadcast((ids[first], pools[first]))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids, pools = sent.value
         counts = np.zeros((len(POOLS), 1 << BITS), np.int64)
         for at, text in labelled_texts(batches, ids):
-            np.add.at(counts[pools[at]], buckets(text)[0], 1)
+            np.add.at(counts[pools[at]], buckets(text), 1)
         packer = zstandard.ZstdCompressor(level=1)
         yield pd.DataFrame([(p, s, blob) for p in range(len(POOLS)) for s, blob in enumerate(vector_rows(counts[p], SEGMENTS, packer))], columns=["pool", "segment", "blob"])
         del counts
@@ -154,7 +238,7 @@ def weigh(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], temperature: fl
         for doc_id, text in batches:
             out = np.empty((len(text), 3))
             for k, (doc, t) in enumerate(zip(doc_id, texts(text))):
-                at = buckets(t)[0]
+                at = buckets(t)
                 logs = [math.log(max(float(p), 1e-12)) + float(table[i, at].sum(dtype=np.float64)) for i, p in enumerate(shares[1:])]
                 top = max(math.log(prior), *logs)
                 raw = top + math.log(math.exp(math.log(prior) - top) + sum(math.exp(x - top) for x in logs))
