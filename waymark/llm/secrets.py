@@ -2,7 +2,9 @@
 
 Three patterns give base spans, which always stay. Candidates for structured secrets are then decoded and parsed before
 they are reported: signed tokens (header and claims must be JSON objects with an algorithm), PEM keys (base64 that holds a
-DER sequence whose nested lengths add up), bare base64 or hex of a DER private key, and SSH private keys (length-prefixed).
+DER sequence whose nested lengths add up, or whole cipher blocks if the headers tell of encryption), bare base64 (either
+alphabet, in one line or many) or hex (either case) of a DER key, and SSH private keys (length-prefixed). A DER sequence
+starts with the byte 0x30, in base64 M and one of A-P; what its length says is how many characters belong to it.
 """
 
 from __future__ import annotations
@@ -31,8 +33,18 @@ ASSIGN = re.compile(rf"({NAMES})[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)")
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")  # AKIA and the rest of its run: 20 or more
 HEX = re.compile(r"[0-9a-f]{24,}")
 SIGNED = re.compile(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{4,}\.[A-Za-z0-9_-]*(?![A-Za-z0-9_-])")
-PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{1,40})-----([A-Za-z0-9+/=\s]*)-----END \1-----")
-BASE64 = re.compile(r"(?<![A-Za-z0-9+/])(?:MI[A-Za-z0-9+/]|MC[A-Za-z0-9+/]|b3BlbnNzaC1rZXktdjE)[A-Za-z0-9+/]{29,}={0,2}")
+HEXKEY = re.compile(r"[0-9A-Fa-f]{24,}")
+PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{1,40})-----\s*((?:[A-Za-z][A-Za-z0-9-]*:[^\n]*\n\s*)*)([A-Za-z0-9+/=\s]*)-----END \1-----")
+CIPHER = re.compile(r"^DEK-Info:[^,\n]*,\s*((?:[0-9A-Fa-f]{16}){1,2})\s*$", re.M)
+BREAK = r"[ \t]*(?:\r?\n|(?:\\r)?\\n)[ \t]*"  # between lines of base64; also as written in JSON and settings
+#: Where a run of either alphabet (or a line of one) starts with 0x30 or the OpenSSH magic.
+START = re.compile(rf"(?:M(?:(?<![A-Za-z0-9+/]M)|(?<![A-Za-z0-9_-]M)|(?<=\\nM))[A-P]|b3BlbnNzaC1rZXktdjE)(?=[A-Za-z0-9+/_-])")
+LINES = re.compile(rf"[A-Za-z0-9+/_-]+(?:{BREAK}[A-Za-z0-9+/_-]+)*")
+BROKEN = re.compile(BREAK)
+WORD = re.compile(r"[A-Za-z0-9+/_-]+")
+STANDARD = str.maketrans("-_", "+/")
+PADDING = re.compile("={0,2}")
+LEAST = 24  # bytes of bare base64
 BASE_KINDS, METHOD_KINDS = ("assign", "access", "hex"), ("jwt", "pem", "der", "ssh", "hexder")
 ORDER = {kind: k for k, kind in enumerate(BASE_KINDS + METHOD_KINDS)}
 
@@ -85,17 +97,103 @@ def is_der_key(data: bytes) -> bool:
     return len(tags) >= 2 and (tags[0] == 0x02 or tags[:2] == [0x30, 0x03])
 
 
-def is_ssh_key(data: bytes) -> bool:
-    """The magic, then cipher, key-derivation name and options, each with its length."""
+def ssh_end(data: bytes) -> int | None:
+    """Where the fields of an SSH key end: the magic, then cipher, key-derivation name and options, the keys, each with its length. None unless the first three leave data, -1 if a later one is cut off."""
     magic = b"openssh-key-v1\0"
     if not data.startswith(magic):
-        return False
+        return None
     at = len(magic)
     for _ in range(3):
         if at + 4 > len(data):
-            return False
+            return None
+        at += 4 + struct.unpack_from(">I", data, at)[0]
+    if at + 4 > len(data):
+        return None
+    left = struct.unpack_from(">I", data, at)[0] + 1  # public keys and the private part
+    at += 4
+    while left and at + 4 <= len(data):
         at += 4 + struct.unpack_from(">I", data, at)[0]
-    return at + 4 <= len(data)
+        left -= 1
+    return -1 if left or at > len(data) else at
+
+
+def is_ssh_key(data: bytes) -> bool:
+    return ssh_end(data) is not None
+
+
+def is_encrypted_key(label: str, headers: str, data: bytes) -> bool:
+    """A private key that the headers say to be encrypted: whole blocks of the cipher whose initial value they give."""
+    cipher = CIPHER.search(headers)
+    return bool("PRIVATE KEY" in label and "ENCRYPTED" in headers and cipher and data and len(data) % (len(cipher[1]) // 2) == 0)
+
+
+def placed(text: str, at: int, chars: int) -> int | None:
+    """Where that number of base64 characters from `at` on ends, breaks between lines not counted; None if there are fewer."""
+    while line := WORD.match(text, at, at + chars):
+        chars, at = chars - (line.end() - at), line.end()
+        if not chars:
+            return at
+        gap = BROKEN.match(text, at)
+        if not gap:
+            return None
+        at = gap.end()
+    return None
+
+
+def plain(text: str, a: int, b: int) -> bytes | None:
+    """Bytes of the base64 in text[a:b], of either alphabet and in any number of lines."""
+    return decoded(BROKEN.sub("", text[a:b]).translate(STANDARD))
+
+
+def der_size(text: str, at: int) -> int:
+    """Bytes of the DER element whose base64 starts at `at`, by its length; 0 if that can't be."""
+    end = placed(text, at, 8)
+    head = plain(text, at, end) if end else None
+    if not head:
+        return 0
+    n = head[1] & 0x7F if head[1] & 0x80 else 0
+    if n > 4 or head[1] == 0x80:
+        return 0
+    return 2 + n + (int.from_bytes(head[2 : 2 + n], "big") if n else head[1])
+
+
+def bare_keys(text: str, covered: list[tuple[int, int]]) -> list[tuple[int, int, str]]:
+    """DER and SSH keys in base64 that don't start in covered."""
+    out, at = [], 0
+    while m := START.search(text, at):
+        a, at = m.start(), m.end()
+        if inside := [y for x, y in covered if x <= a < y]:
+            at = max(inside)
+            continue
+        if text[a] == "b":
+            line, run = WORD.match(text, a).end(), LINES.match(text, a).end()
+            raw = BROKEN.sub("", text[a:run]).translate(STANDARD)
+            size = ssh_end(base64.b64decode(raw[: len(raw) // 4 * 4] + ("" if len(raw) % 4 < 2 else raw[len(raw) // 4 * 4 :] + "=" * (-len(raw) % 4)))) or 0
+            end = placed(text, a, -(-size * 4 // 3)) if size > 0 else line  # a key that is cut off: its line
+            kind = "ssh" if size > 0 or is_ssh_key(plain(text, a, line) or b"") else None
+        else:
+            size = der_size(text, a)
+            end = placed(text, a, -(-size * 4 // 3)) if LEAST <= size <= len(text) - a else None
+            data = (plain(text, a, end) if end else None) or b""
+            kind = "der" if is_der_key(data) else None
+            if is_der(data):  # what a certificate or the like holds isn't looked at
+                at = end
+        if kind:
+            at = end
+            out.append((a, end + len(PADDING.match(text, end)[0]), kind))
+    return out
+
+
+def is_der(data: bytes) -> bool:
+    """Whether data is a sequence of elements whose lengths add up."""
+    top = element(data, 0, len(data))
+    at = top[1] if top else 0
+    while top and at < top[2]:
+        inner = element(data, at, top[2])
+        if not inner:
+            return False
+        at = inner[2]
+    return bool(top) and top[0] == 0x30 and top[2] == len(data)
 
 
 def is_signed_token(text: str) -> bool:
@@ -121,20 +219,14 @@ def confirmed_spans(text: str) -> list[tuple[int, int, str]]:
         out += [(m.start(), m.end(), "jwt") for m in SIGNED.finditer(text) if is_signed_token(m[0])]
     if "-----BEGIN" in text:
         for m in PEM.finditer(text):
-            raw = decoded(re.sub(r"\s", "", m[2]))
-            if raw and (is_der_key(raw) or is_ssh_key(raw)):
+            raw = decoded(re.sub(r"\s", "", m[3]))
+            if raw and (is_der_key(raw) or is_ssh_key(raw) or is_encrypted_key(m[1], m[2], raw)):
                 out.append((m.start(), m.end(), "pem"))
-    covered = [(a, b) for a, b, _ in out]
-    for m in BASE64.finditer(text):
-        if not any(a <= m.start() and m.end() <= b for a, b in covered):
-            raw = decoded(m[0])
-            if raw and is_ssh_key(raw):
-                out.append((m.start(), m.end(), "ssh"))
-            elif raw and is_der_key(raw):
-                out.append((m.start(), m.end(), "der"))
-    for m in HEX.finditer(text):
-        if m[0].startswith("30") and len(m[0]) % 2 == 0 and is_der_key(bytes.fromhex(m[0])):
-            out.append((m.start(), m.end(), "hexder"))
+    out += bare_keys(text, [(a, b) for a, b, _ in out])
+    hexes = {m.span() for m in HEXKEY.finditer(text)} | {m.span() for m in HEX.finditer(text)}
+    for a, b in sorted(hexes):
+        if text.startswith("30", a) and (b - a) % 2 == 0 and is_der_key(bytes.fromhex(text[a:b])):
+            out.append((a, b, "hexder"))
     return out
 
 
