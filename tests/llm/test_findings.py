@@ -4,7 +4,7 @@ import base64
 
 import numpy as np
 
-from waymark.llm import quality, secrets
+from waymark.llm import html_extract, quality, secrets
 
 
 def test_quality_counts_every_labelled_row_but_near_copies(spark):
@@ -48,3 +48,23 @@ def test_secrets_keys_of_any_length_alphabet_and_layout():
     inner = bytes.fromhex("a0030201020201010400") + bytes(3) * 0 + spki
     certificate = b"\x30" + bytes([2 + len(inner)]) + b"\x30" + bytes([len(inner)]) + inner
     assert found(wrapped(base64.b64encode(certificate).decode(), "\n")) == []
+
+
+def extracted(spark, pages):
+    df = spark.createDataFrame([(k, f"http://h/{k}", page) for k, page in enumerate(pages)], "page_id long, url string, html string").repartition(3)
+    return {r.page_id: r.text for r in html_extract.extract(df).collect()}
+
+
+def test_html_template_has_all_siblings_inline_text_and_layouts(spark):
+    def page(k):
+        menu = "".join(f"<li><a href='/{x}'>{x}</a></li>" for x in ("Home", "News", "About"))
+        notes = "<p>Note <b>one</b></p><p>Note two</p><p>Note three</p>"
+        if k % 2:
+            return f"<html><body><div class='x'><ul>{menu}</ul></div><div class='body'><p>Text {k}</p><p>More {k}</p></div><div class='z'>{notes}</div></body></html>"
+        return f"<html><body><table><tr><td><ul>{menu}</ul></td><td><h2>Text {k}</h2><p>More {k}</p></td></tr></table><section>{notes}</section></body></html>"
+
+    got = extracted(spark, [page(k) for k in range(30)])
+    assert all(got[k] == f"Text {k}\nMore {k}" for k in range(30))
+    four = [page(k) for k in (1, 3, 5, 7)]  # alignment alone
+    template = frozenset((a.removeprefix("/#root"), b) for a, b in html_extract.induce(four))
+    assert html_extract.main_text(four[0], template) == "Text 1\nMore 1"
