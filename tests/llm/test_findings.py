@@ -55,6 +55,15 @@ def extracted(spark, pages):
     return {r.page_id: r.text for r in html_extract.extract(df).collect()}
 
 
+def test_html_wrapper_decides_inside_an_article_too(spark):
+    page = lambda k: f"<html><body><article><h1>T{k}</h1><p>Text {k} <i>of</i> its own</p><p>{'Twice' if k < 2 else f'Once {k}'}</p><div><p>Read <b>more</b> here</p></div></article></body></html>"
+    got = extracted(spark, [page(k) for k in range(12)])
+    assert got[0] == "T0\nText 0 of its own\nTwice" and got[5] == "T5\nText 5 of its own\nOnce 5"
+    # Copies of one article are no template; nor are repeated rows, or what two pages happen to share.
+    same = [f"<article><p>{'long text ' * 20}</p><p>{k}</p></article>" for k in range(8)]
+    assert extracted(spark, same)[3].startswith("long text") and extracted(spark, [page(0)] * 9)[0].endswith("Read more here")
+
+
 def test_html_template_has_all_siblings_inline_text_and_layouts(spark):
     def page(k):
         menu = "".join(f"<li><a href='/{x}'>{x}</a></li>" for x in ("Home", "News", "About"))
