@@ -4,7 +4,7 @@ import base64
 
 import numpy as np
 
-from waymark.llm import html_extract, quality, secrets
+from waymark.llm import html_extract, language_model, quality, secrets
 
 
 def test_quality_counts_every_labelled_row_but_near_copies(spark):
@@ -77,3 +77,12 @@ def test_html_template_has_all_siblings_inline_text_and_layouts(spark):
     four = [page(k) for k in (1, 3, 5, 7)]  # alignment alone
     template = frozenset((a.removeprefix("/#root"), b) for a, b in html_extract.induce(four))
     assert html_extract.main_text(four[0], template) == "Text 1\nMore 1"
+
+
+def test_language_model_counts_go_beyond_32_bits(spark):
+    sizes = [2 * language_model.CLASSES, 2 << language_model.SLOT_BITS]
+    tables = [np.zeros(n, np.int64) for n in sizes]
+    tables[0][3], tables[1][70_000] = 2**31 - 5, 2**33
+    made = spark.createDataFrame(language_model.packed(tables)).unionByName(spark.createDataFrame(language_model.packed(tables)))
+    got = language_model.merged(made.selectExpr("int(part) AS part", "int(segment) AS segment", "blob"), sizes)
+    assert got[0][3] == 2**32 - 10 and got[1][70_000] == 2**34 and sum(int(t.sum()) for t in got) == 2**32 - 10 + 2**34

@@ -214,13 +214,29 @@ class Model:
         return np.log10(p)
 
 
+def packed(tables: list[np.ndarray]) -> pd.DataFrame:
+    """A task's 64-bit count tables as rows (part, segment, blob), empty segments left out."""
+    packer = zstandard.ZstdCompressor(level=1)
+    return pd.DataFrame([(k, s, b) for k, t in enumerate(tables) for s, b in enumerate(vector_rows(t, 16 if k else 1, packer, "<i8")) if b], columns=["part", "segment", "blob"])
+
+
+def merged(made: DataFrame, sizes: list[int]) -> list[np.ndarray]:
+    """Sums of the tasks' tables in 64 bits: a side of the root node has as many counts as the corpus has tokens."""
+    un, tables = zstandard.ZstdDecompressor(), [np.zeros(s, np.int64) for s in sizes]
+    for condition, size in (("part = 0", sizes[0]), ("part > 0", sizes[1] // 16)):
+        for r in summed_segments(made.where(condition), ["part", "segment"], size).toLocalIterator():
+            tables[r.part][r.segment * size : (r.segment + 1) * size] = np.frombuffer(un.decompress(r.blob), "<i8")
+    return tables
+
+
 def score(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and bits_per_byte for each row of docs (doc_id, text).
 
     Texts with crc32(doc_id as text) mod 10 = 0 are held out of all learning (null doc_id: the sum of no bytes, held out). Null
     and empty texts are one end token; without a byte bits_per_byte is null. Repeated rows are each learnt from and scored.
     Counts of frequent words (2**18 at most), class and predictor tables have fixed sizes and are sent to the tasks; all other
-    words meet their counts in a join of one row for each text and rare word. Words are told apart by 64-bit hashes.
+    words meet their counts in a join of one row for each text and rare word. The predictor tables are untagged and don't grow with
+    the corpus: contexts share slots, the more the larger it is. Words are told apart by 64-bit hashes.
     """
     spark = docs.sparkSession
     folder = shared_folder(spark, "language-model")
@@ -272,13 +288,13 @@ def score(docs: DataFrame) -> DataFrame:
 
     def learn_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         code = sent_code.value
-        stream, tables = Stream(code), [np.zeros(s, np.int32) for s in sizes]
+        stream, tables = Stream(code), [np.zeros(s, np.int64) for s in sizes]
         held: list[list[np.ndarray]] = [[] for _ in tables]
 
         def add() -> None:
             for t, places in zip(tables, held):
                 if places:
-                    t += np.bincount(np.concatenate(places), minlength=len(t)).astype(np.int32)
+                    t += np.bincount(np.concatenate(places), minlength=len(t))
                     places.clear()
 
         for part in slices(batches, lambda f: f > 1):
@@ -289,17 +305,13 @@ def score(docs: DataFrame) -> DataFrame:
                 if sum(map(len, held[0])) >= 1 << 21:
                     add()
         add()
-        packer = zstandard.ZstdCompressor(level=1)
-        yield pd.DataFrame([(k, s, b) for k, t in enumerate(tables) for s, b in enumerate(vector_rows(t, 16 if k else 1, packer)) if b], columns=["part", "segment", "blob"])
+        yield packed(tables)
         del tables, held
         trim()
 
     un = zstandard.ZstdDecompressor()
     made = stored(chosen.mapInPandas(learn_counts, "part int, segment int, blob binary"), f"{folder}/tables")
-    tables = [np.zeros(s, np.int32) for s in sizes]
-    for condition, size in (("part = 0", sizes[0]), ("part > 0", sizes[1] // 16)):
-        for r in summed_segments(made.where(condition), ["part", "segment"], size, "<i4").toLocalIterator():
-            tables[r.part][r.segment * size : (r.segment + 1) * size] = np.frombuffer(un.decompress(r.blob), "<i4")
+    tables = merged(made, sizes)
     remove(spark, f"{folder}/tables")
     model = Model(tables)
     sent = spark.sparkContext.broadcast(model)
