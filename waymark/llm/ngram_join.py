@@ -70,7 +70,11 @@ def bit_set(ids: np.ndarray, bits: int) -> np.ndarray:
 
 
 def links_of(docs: DataFrame, folder: str, words: int = WORDS, percent: int = PERCENT, pivots: int = 3, small: int = 64, block: int = 256) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(members: doc_id, node, n), (links between nodes: a, b, overlap), (components of linked nodes: node, component by least doc_id's node order)."""
+    """(members: doc_id, node, n), (links between nodes: a, b, overlap), (components of linked nodes: node, component by least doc_id's node order).
+
+    The links are a connecting subset of all similar pairs: pairs whose rows are already in one component are not formed.
+    Components are those of all pairs; the number of a node's links isn't known.
+    """
     spark = docs.sparkSession
     chosen = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     rows = chosen.count()
@@ -263,7 +267,7 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFra
     A link: 100 * intersection >= percent * union of the sets of `words`-word shingles. Copies have one set and one component.
     Null and empty texts, and texts without words, have no shingles and are linked with nothing: a component of their own. A
     null doc_id gets the component of its copies and near copies (null if it has none with an id). Repeated rows stay. Sets
-    are told apart by 64-bit hashes.
+    are told apart by 64-bit hashes. Pairs inside a component are not all formed, so the number of a row's links isn't given.
     """
     spark = docs.sparkSession
     folder = shared_folder(spark, "ngram-join")
