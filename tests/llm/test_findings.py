@@ -4,7 +4,7 @@ import base64
 
 import numpy as np
 
-from waymark.llm import html_extract, language_model, quality, secrets
+from waymark.llm import html_extract, language_model, media, quality, secrets
 
 
 def test_quality_counts_every_labelled_row_but_near_copies(spark):
@@ -86,3 +86,19 @@ def test_language_model_counts_go_beyond_32_bits(spark):
     made = spark.createDataFrame(language_model.packed(tables)).unionByName(spark.createDataFrame(language_model.packed(tables)))
     got = language_model.merged(made.selectExpr("int(part) AS part", "int(segment) AS segment", "blob"), sizes)
     assert got[0][3] == 2**32 - 10 and got[1][70_000] == 2**34 and sum(int(t.sum()) for t in got) == 2**32 - 10 + 2**34
+
+
+def test_media_columns_hold_all_tracks_and_key_ranges(spark):
+    one = media.encode(bytes(k % 251 for k in range(64 * 50)))
+    at = one.index(b"trak") - 4
+    track = one[at : at + int.from_bytes(one[at : at + 4], "big")]
+    moov = one.index(b"moov") - 4
+    size = int.from_bytes(one[moov : moov + 4], "big")
+    two = one[:moov] + (size + len(track)).to_bytes(4, "big") + one[moov + 4 : moov + size] + track + one[moov + size :]
+    rows = spark.createDataFrame([(1, bytearray(one)), (2, bytearray(two)), (3, bytearray(b"")), (4, None)], "doc_id long, media binary")
+    got = {r.doc_id: r for r in media.media_features(rows).collect()}
+    assert [len(got[k].tracks) for k in (1, 2, 3, 4)] == [1, 2, 0, 0] and got[4].feature is None
+    for k, m in ((1, one), (2, two)):
+        for told, t in zip(got[k].tracks, media.describe(m)):
+            assert (told.codec, told.samples, told.key_starts) == ("ipcm", 50, t["starts"][t["keys"]].tolist()) and len(told.key_ends) == 4
+            assert told.seconds == t["duration"] / t["scale"] and told.key_ends == t["ends"][t["keys"]].tolist()

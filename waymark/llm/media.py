@@ -163,25 +163,35 @@ def with_media(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n_bytes"), made(text).alias("media"))
 
 
+TRACK = "struct<codec:string,seconds:double,samples:long,key_starts:array<long>,key_ends:array<long>>"
+
+
+def stored_track(t: dict) -> dict:
+    """What the column `tracks` holds of a track: the byte ranges of all its key frames too."""
+    return {"codec": t["codec"], "seconds": t["duration"] / t["scale"], "samples": len(t["starts"]), "key_starts": t["starts"][t["keys"]].tolist(), "key_ends": t["ends"][t["keys"]].tolist()}
+
+
 def media_features(frame: DataFrame) -> DataFrame:
-    """Replaces the column `media` by what its first track tells.
+    """Replaces the column `media` by what its tracks tell: `tracks` has each of them with all key ranges, the digests are of the first.
 
-    A container without a track, or a null one, has payload_bytes 0, the sums of no bytes and a null feature. Equal
+    A container without a track, or a null one, has no tracks, payload_bytes 0, the sums of no bytes and a null feature. Equal
     containers give equal values; rows are independent, so there is no exchange and repeated rows stay.
     """
+    names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "tracks"]
 
-    @F.pandas_udf("payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    @F.pandas_udf(f"payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, tracks array<{TRACK}>")
     def read(media: pd.Series) -> pd.DataFrame:
         out = []
         for m in media:
             m = bytes(m) if m is not None else b""
             tracks = describe(m)
             payload = samples(m, tracks[0]) if tracks else b""
-            out.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), len(m), hashlib.sha256(m).hexdigest(), feature(tracks[0]) if tracks else None))
-        return pd.DataFrame(out, columns=["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
+            digests = len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), len(m), hashlib.sha256(m).hexdigest()
+            out.append((*digests, feature(tracks[0]) if tracks else None, [stored_track(t) for t in tracks]))
+        return pd.DataFrame(out, columns=names)
 
     return frame.select(*[c for c in frame.columns if c != "media"], read("media").alias("told")).select(*[c for c in frame.columns if c != "media"], "told.*")
 
 
 def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media_features(with_media(table(spark, sf_dir, "documents")))
+    return media_features(with_media(table(spark, sf_dir, "documents"))).drop("tracks")
