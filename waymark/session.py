@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import zipfile
 from pathlib import Path
@@ -32,11 +34,13 @@ def ship(spark: SparkSession) -> None:
     context = spark.sparkContext
     if getattr(context, "_waymark_shipped", False):
         return
-    with tempfile.TemporaryDirectory() as folder:
-        target = Path(folder) / "waymark_package.zip"
-        with zipfile.ZipFile(target, "w") as z:
-            for file in sorted(ROOT.rglob("*")):
-                if file.is_file() and "__pycache__" not in file.parts:
-                    z.write(file, file.relative_to(ROOT.parent))
-        context.addPyFile(str(target))
+    # Executors fetch the file when their first task starts, so it stays until this process ends.
+    folder = tempfile.mkdtemp(prefix="waymark-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    target = Path(folder) / "waymark_package.zip"
+    with zipfile.ZipFile(target, "w") as z:
+        for file in sorted(ROOT.rglob("*")):
+            if file.is_file() and "__pycache__" not in file.parts:
+                z.write(file, file.relative_to(ROOT.parent))
+    context.addPyFile(str(target))
     context._waymark_shipped = True
