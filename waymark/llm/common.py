@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import struct
 import tempfile
 import uuid
 
@@ -88,9 +87,20 @@ def texts(batch) -> list[str | None]:
     return [x if isinstance(x, str) else None for x in batch]
 
 
-def vector_rows(counts: np.ndarray, segments: int, compressor, dtype: str | None = None) -> list[bytes]:
-    """A count vector cut into equal segments, each packed as dtype; empty segments give b''."""
-    return [compressor.compress(part.astype(dtype or part.dtype).tobytes()) if part.any() else b"" for part in np.split(counts, segments)]
+def narrow(values: np.ndarray) -> bytes:
+    """Bytes of whole numbers in the narrowest of 16, 32 and 64 bits that holds them all."""
+    low, high = (int(values.min()), int(values.max())) if len(values) else (0, 0)
+    return values.astype(next(t for t in ("<i2", "<i4", "<i8") if low >= np.iinfo(t).min and high <= np.iinfo(t).max)).tobytes()
+
+
+def widened(raw: bytes, size: int) -> np.ndarray:
+    """The `size` numbers that narrow() wrote."""
+    return np.frombuffer(raw, f"<i{len(raw) // size}")
+
+
+def vector_rows(counts: np.ndarray, segments: int, compressor) -> list[bytes]:
+    """A vector of whole numbers cut into equal segments, each packed; empty segments give b''."""
+    return [compressor.compress(narrow(part)) if part.any() else b"" for part in np.split(counts, segments)]
 
 
 def trim() -> None:
@@ -106,8 +116,8 @@ def trim() -> None:
         pass
 
 
-def summed_segments(df: DataFrame, keys: list[str], size: int, dtype: str = "<i8") -> DataFrame:
-    """Sums packed count segments by keys.
+def summed_segments(df: DataFrame, keys: list[str], size: int) -> DataFrame:
+    """Sums packed segments (blobs of vector_rows) by keys, in 64 bits.
 
     The blobs of a key are reduced in two steps: salted first, so that no task gets a share that grows with all partitions.
     """
@@ -116,22 +126,42 @@ def summed_segments(df: DataFrame, keys: list[str], size: int, dtype: str = "<i8
 
     schema = ", ".join(f"{k} int" for k in keys) + ", blob binary"
 
-    def add(key, batches):
-        total, un = np.zeros(size, dtype), zstandard.ZstdDecompressor()
-        for pdf in batches:
-            for blob in pdf["blob"]:
-                total += np.frombuffer(un.decompress(blob), dtype)
-        yield pd.DataFrame({**{k: [int(v)] for k, v in zip(keys, key)}, "blob": [zstandard.ZstdCompressor(3).compress(total.tobytes())]})
-
     def grouped(frame, by):
-        def one(key, pdf):
-            return pd.concat(list(add(key[: len(keys)], [pdf])))
+        def add(key, pdf):
+            total, un = np.zeros(size, np.int64), zstandard.ZstdDecompressor()
+            for blob in pdf["blob"]:
+                total += widened(un.decompress(blob), size)
+            return pd.DataFrame({**{k: [int(v)] for k, v in zip(keys, key)}, "blob": [zstandard.ZstdCompressor(3).compress(narrow(total))]})
 
-        return frame.groupBy(*by).applyInPandas(one, schema)
+        return frame.groupBy(*by).applyInPandas(add, schema)
 
     salted = df.where(F.length("blob") > 0).select(*keys, "blob", F.pmod(F.spark_partition_id(), F.lit(16)).alias("salt"))
     return grouped(grouped(salted, [*keys, "salt"]), keys)
 
 
-def pack_ints(*values: int) -> bytes:
-    return struct.pack(f"<{len(values)}q", *values)
+def segment_of(blob: bytes, size: int) -> np.ndarray:
+    """The numbers of a blob that summed_segments gives."""
+    import zstandard
+
+    return widened(zstandard.ZstdDecompressor().decompress(blob), size)
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark's cleaner drop the shuffle files of frames that nothing refers to any more."""
+    import gc
+
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def spread_join(rows: DataFrame, known: DataFrame, key: str, count: str, total: int, share: int = 1000) -> DataFrame:
+    """rows joined with known, which has one row for each key and, in column `count`, how many of the `total` rows have it.
+
+    Keys with more than total / share rows, fewer than `share` of them, are broadcast, so that their rows stay where they are;
+    the rest meets in an exchange in which no key has a larger part.
+    """
+    if total <= 5000:
+        return rows.join(known.drop(count), key)
+    limit = max(1000, total // share)
+    heavy, light = known.where(F.col(count) > limit).drop(count), known.where(F.col(count) <= limit).drop(count)
+    return rows.join(F.broadcast(heavy), key).unionByName(rows.join(F.broadcast(heavy.select(key)), key, "left_anti").join(light, key))

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waymark.llm.common import blank_words, remove, shared_folder, stored, summed_segments, table, texts, trim, vector_rows
+from waymark.llm.common import blank_words, narrow, remove, segment_of, shared_folder, stored, summed_segments, table, texts, trim, vector_rows
 
 ALPHA = 0.1
 CLASSES, OWN = 1024, 512  # classes, and those with one word
@@ -217,15 +217,15 @@ class Model:
 def packed(tables: list[np.ndarray]) -> pd.DataFrame:
     """A task's 64-bit count tables as rows (part, segment, blob), empty segments left out."""
     packer = zstandard.ZstdCompressor(level=1)
-    return pd.DataFrame([(k, s, b) for k, t in enumerate(tables) for s, b in enumerate(vector_rows(t, 16 if k else 1, packer, "<i8")) if b], columns=["part", "segment", "blob"])
+    return pd.DataFrame([(k, s, b) for k, t in enumerate(tables) for s, b in enumerate(vector_rows(t, 16 if k else 1, packer)) if b], columns=["part", "segment", "blob"])
 
 
 def merged(made: DataFrame, sizes: list[int]) -> list[np.ndarray]:
     """Sums of the tasks' tables in 64 bits: a side of the root node has as many counts as the corpus has tokens."""
-    un, tables = zstandard.ZstdDecompressor(), [np.zeros(s, np.int64) for s in sizes]
+    tables = [np.zeros(s, np.int64) for s in sizes]
     for condition, size in (("part = 0", sizes[0]), ("part > 0", sizes[1] // 16)):
         for r in summed_segments(made.where(condition), ["part", "segment"], size).toLocalIterator():
-            tables[r.part][r.segment * size : (r.segment + 1) * size] = np.frombuffer(un.decompress(r.blob), "<i8")
+            tables[r.part][r.segment * size : (r.segment + 1) * size] = segment_of(r.blob, size)
     return tables
 
 
@@ -309,7 +309,6 @@ def score(docs: DataFrame) -> DataFrame:
         del tables, held
         trim()
 
-    un = zstandard.ZstdDecompressor()
     made = stored(chosen.mapInPandas(learn_counts, "part int, segment int, blob binary"), f"{folder}/tables")
     tables = merged(made, sizes)
     remove(spark, f"{folder}/tables")
@@ -331,12 +330,12 @@ def score(docs: DataFrame) -> DataFrame:
                 seen += np.bincount(at, minlength=len(seen))
                 ones += np.bincount(at, bit, len(ones)).astype(np.int64)
         told = np.concatenate([np.rint(model.weights * SCALE).astype(np.int64).ravel() * np.repeat(gates, INPUTS), gates, seen, ones])
-        yield pd.DataFrame({"segment": [0], "blob": [zstandard.ZstdCompressor(1).compress(told.tobytes())]})
+        yield pd.DataFrame({"segment": [0], "blob": [zstandard.ZstdCompressor(1).compress(narrow(told))]})
 
     size = LEVELS * LEVELS * (INPUTS + 1) + 2 * BINS * DEPTHS
     found = summed_segments(chosen.mapInPandas(learn_weights, "segment int, blob binary"), ["segment"], size).collect()
     if found:
-        told = np.frombuffer(un.decompress(found[0].blob), "<i8")
+        told = segment_of(found[0].blob, size)
         cut = np.cumsum([LEVELS * LEVELS * INPUTS, LEVELS * LEVELS, BINS * DEPTHS])
         w, gates, seen, ones = np.split(told, cut)
         used = gates > 0

@@ -4,11 +4,12 @@ The incidence matrix has a row for each distinct shingle set (copies share one)
 with its transpose holds all overlaps; only entries that can reach the similarity are ever formed:
 
 * Columns are ordered, those a sketch finds common last. Two rows that link share a column among the first
-  n - ceil(s n) + 1 of each in this order, so the product runs over these columns only, column block by column block
-  (partitions by column), and pairs whose sizes rule them out aren't formed.
-* Columns are also dealt into 128 blocks. The overlap within a block is at most the smaller count there; a pair whose
-  accumulated bounds stay below ceil(s / (1 + s) (m + n)) is discarded before any shingle moves.
-* What is left gets its full overlap from the two sets.
+  n - ceil(s n) + 1 of each in this order, so candidates come from these columns only, and pairs whose sizes rule them out
+  aren't formed. Columns that the sketch takes for common are dealt over several partitions.
+* A row's bitmap has a bit for each of its columns. Bits that the other row lacks bound the overlap from above; a pair whose
+  bound stays below ceil(s / (1 + s) (m + n)) is discarded before any shingle moves.
+* What is left is multiplied in row blocks (a row and up to 8 MB of partners) by column blocks: overlaps are accumulated block
+  by block, and a pair goes as soon as its count and what the remaining columns can add stay below the bound.
 
 A column that many rows share isn't expanded at first: its rows pair with up to three pivots only, which ties large groups of
 near copies together. Then the pairs of a column whose rows are still in different components follow, all of them: none
@@ -26,10 +27,14 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from waymark.llm.common import blank_words, distinct, remove, shared_folder, stored, summed_segments, table, texts, trim, vector_rows, word_hashes
+from waymark.llm.common import blank_words, distinct, release, remove, segment_of, shared_folder, spread_join, stored, summed_segments, table, texts, trim, vector_rows, word_hashes
 from waymark.llm.components import components
 
-WORDS, PERCENT, BLOCKS, SEGMENTS = 5, 80, 128, 64
+WORDS, PERCENT, SEGMENTS = 5, 80, 64
+LEAST_BITS, MOST_BITS = 512, 1 << 17  # of a bitmap
+SPREAD = 2048  # rows of a common column in a partition, by the sketch
+ROWS = 1 << 20  # shingles of the partners in a row block
+COLUMNS = 256  # shingles of a column block
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -52,9 +57,26 @@ def node_of(s: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh3_64_intdigest(s.tobytes())).view(np.int64))
 
 
-def profile(s: np.ndarray) -> bytes:
-    """Shingles in each column block (a byte each, full at 255)."""
-    return np.minimum(np.bincount((s & np.uint64(BLOCKS - 1)).astype(np.int64), minlength=BLOCKS), 255).astype(np.uint8).tobytes()
+def bitmap(s: np.ndarray) -> bytes:
+    """A bit for each shingle, at its low bits: two to four times as many as shingles, a power of two between the bounds."""
+    bits = min(MOST_BITS, max(LEAST_BITS, 1 << (2 * len(s) - 1).bit_length()))
+    out = np.zeros(bits, bool)
+    out[(s & np.uint64(bits - 1)).astype(np.int64)] = True
+    return np.packbits(out).tobytes()
+
+
+def folded(bits: np.ndarray, size: int) -> np.ndarray:
+    """A bitmap in fewer bytes, a power of two."""
+    return np.bitwise_or.reduce(bits.reshape(-1, size), 0)
+
+
+def overlap_bound(a: bytes, b: bytes, m: int, n: int) -> int:
+    """What rows of m and n shingles can share at most, by their bitmaps."""
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    size = min(len(x), len(y))
+    x, y = folded(x, size), folded(y, size)
+    both = int(np.bitwise_count(x & y).sum())
+    return min(m - int(np.bitwise_count(x).sum()) + both, n - int(np.bitwise_count(y).sum()) + both)
 
 
 def prefix(n: int, percent: int) -> int:
@@ -62,6 +84,21 @@ def prefix(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
 
+def overlap(a: np.ndarray, b: np.ndarray, least: int) -> int:
+    """Shingles that two sorted sets share, accumulated by column blocks; -1 as soon as `least` can't be reached."""
+    found, i, j = 0, 0, 0
+    while i < len(a) and j < len(b):
+        if found + min(len(a) - i, len(b) - j) < least:
+            return -1
+        x = a[i : i + COLUMNS]
+        end = j + int(np.searchsorted(b[j:], x[-1], "right"))
+        y = b[j:end]
+        if len(y):
+            found += int(np.count_nonzero(x[np.searchsorted(x, y)] == y))
+        i, j = i + len(x), end
+    return found if found >= least else -1
+
+
 def bit_set(ids: np.ndarray, bits: int) -> np.ndarray:
     """A Bloom filter with one hash."""
     out = np.zeros(1 << bits, bool)
@@ -69,6 +106,31 @@ def bit_set(ids: np.ndarray, bits: int) -> np.ndarray:
     return np.packbits(out)
 
 
+def bloom(ids: DataFrame, column: str, bits: int) -> np.ndarray:
+    """The filter of a column of longs, united by 16 tasks first."""
+    un, packer = zstandard.ZstdDecompressor, zstandard.ZstdCompressor
+
+    def some(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found = None
+        for pdf in batches:
+            part = bit_set(pdf[column].to_numpy(np.int64), bits)
+            found = part if found is None else found | part
+        if found is not None:
+            yield pd.DataFrame({"blob": [packer().compress(found.tobytes())]})
+
+    def united(pdf: pd.DataFrame) -> pd.DataFrame:
+        found = np.zeros((1 << bits) // 8, np.uint8)
+        for blob in pdf["blob"]:
+            found |= np.frombuffer(un().decompress(blob), np.uint8)
+        return pd.DataFrame({"blob": [packer().compress(found.tobytes())]})
+
+    out = np.zeros((1 << bits) // 8, np.uint8)
+    parts = ids.select(column).mapInPandas(some, "blob binary").withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(16)))
+    for row in parts.groupBy("salt").applyInPandas(united, "blob binary").toLocalIterator():
+        out |= np.frombuffer(un().decompress(row.blob), np.uint8)
+    return out
+
+
 def links_of(docs: DataFrame, folder: str, words: int = WORDS, percent: int = PERCENT, pivots: int = 3, small: int = 64, block: int = 256) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(members: doc_id, node, n), (links between nodes: a, b, overlap), (components of linked nodes: node, component by least doc_id's node order).
 
@@ -84,9 +146,9 @@ def links_of(docs: DataFrame, folder: str, words: int = WORDS, percent: int = PE
         counts, seen, packer = np.zeros(1 << bits, np.uint16), set(), zstandard.ZstdCompressor(level=1)
 
         def told_counts() -> pd.DataFrame:
-            blobs = [(k, b) for k, b in enumerate(vector_rows(counts, SEGMENTS, packer, "<i4")) if b]
+            blobs = [(k, b) for k, b in enumerate(vector_rows(counts, SEGMENTS, packer)) if b]
             none = pd.array([None] * len(blobs), "Int64")
-            return pd.DataFrame({"doc_id": none, "node": none, "n": np.int64(0), "profile": None, "segment": pd.array([k for k, _ in blobs], "Int32"), "blob": [b for _, b in blobs]})
+            return pd.DataFrame({"doc_id": none, "node": none, "n": np.int64(0), "bits": None, "segment": pd.array([k for k, _ in blobs], "Int32"), "blob": [b for _, b in blobs]})
 
         for pdf in batches:
             out = []
@@ -96,36 +158,38 @@ def links_of(docs: DataFrame, folder: str, words: int = WORDS, percent: int = PE
                     out.append((doc, None, 0, None, None, None))
                     continue
                 node = node_of(s)
-                out.append((doc, node, len(s), profile(s), None, None))
+                out.append((doc, node, len(s), None if node in seen else bitmap(s), None, None))
                 if node not in seen:
                     seen.add(node)
                     if len(seen) % 65_000 == 0:  # before a cell can overflow
                         yield told_counts()
                         counts[:] = 0
                     counts[(s >> np.uint64(64 - bits)).astype(np.int64)] += 1  # a row counts once in a cell
-            made = pd.DataFrame(out, columns=["doc_id", "node", "n", "profile", "segment", "blob"])
+            made = pd.DataFrame(out, columns=["doc_id", "node", "n", "bits", "segment", "blob"])
             yield made.assign(doc_id=made["doc_id"].astype("Int64"), node=pd.array(made["node"].tolist(), "Int64"), segment=made["segment"].astype("Int32"))
         yield told_counts()
         del counts
         trim()
 
-    told = stored(chosen.mapInPandas(describe, "doc_id long, node long, n long, profile binary, segment int, blob binary"), f"{folder}/told")
-    members = told.where("segment is null").select("doc_id", "node", "n")
+    told = stored(chosen.mapInPandas(describe, "doc_id long, node long, n long, bits binary, segment int, blob binary"), f"{folder}/told")
+    members = stored(told.where("segment is null").select("doc_id", "node", "n"), f"{folder}/members")
     size = (1 << bits) // SEGMENTS
-    total = np.zeros(1 << bits, np.int32)
-    un = zstandard.ZstdDecompressor()
-    for row in summed_segments(told.where("segment is not null").select("segment", "blob"), ["segment"], size, "<i4").toLocalIterator():
-        total[row.segment * size : (row.segment + 1) * size] = np.frombuffer(un.decompress(row.blob), "<i4")
+    total = np.zeros(1 << bits, np.int64)
+    for row in summed_segments(told.where("segment is not null").select("segment", "blob"), ["segment"], size).toLocalIterator():
+        total[row.segment * size : (row.segment + 1) * size] = segment_of(row.blob, size)
     mean = float(total.mean())
     floor = mean + 3 * mean**0.5 + 4
     common = np.where(total <= floor, 0, np.minimum(255, 1 + 8 * np.log2(np.maximum(total, 1) / floor))).astype(np.uint8)
     sketch = spark.sparkContext.broadcast(common)  # 16 MB at most
+    # Partitions over which a column's rows are dealt, by its rank in the sketch; 0 for those that stay together.
+    dealt = np.where(np.arange(256) > 0, np.ceil(floor * 2 ** (np.arange(256) / 8) / SPREAD), 1).clip(1, 1 << 20).astype(np.int64)
+    dealt[dealt == 1] = 0
     del total
 
     def columns(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rank, seen = sketch.value, set()
         for pdf in batches:
-            keys, nodes, sizes = [], [], []
+            keys, salts, nodes, sizes = [], [], [], []
             for text in texts(pdf["text"]):
                 s = shingles(text, words)
                 if not len(s) or (node := node_of(s)) in seen:
@@ -133,45 +197,43 @@ def links_of(docs: DataFrame, folder: str, words: int = WORDS, percent: int = PE
                 seen.add(node)
                 p = prefix(len(s), percent)
                 r = rank[(s >> np.uint64(64 - bits)).astype(np.int64)]
-                first = s[np.argsort(r, kind="stable")[:p]] if r.any() else s[:p]
-                keys.append(first)
-                nodes.append(np.full(len(first), node, np.int64))
-                sizes.append(np.full(len(first), len(s), np.int32))
+                order = np.argsort(r, kind="stable")[:p] if r.any() else slice(p)
+                over = dealt[r[order]]
+                keys.append(s[order])
+                salts.append(np.where(over > 0, 1 + (node & 0x7FFFFFFF) % np.maximum(over, 1), 0))
+                nodes.append(np.full(p, node, np.int64))
+                sizes.append(np.full(p, len(s), np.int32))
             if keys:
-                yield pd.DataFrame({"key": np.concatenate(keys).view(np.int64), "node": np.concatenate(nodes), "n": np.concatenate(sizes)})
+                yield pd.DataFrame({"key": np.concatenate(keys).view(np.int64), "salt": np.concatenate(salts).astype(np.int32), "node": np.concatenate(nodes), "n": np.concatenate(sizes)})
         trim()
 
     # A column that one row has alone makes no pair. One exchange serves both the copies of a row and the count.
-    entries = chosen.mapInPandas(columns, "key long, node long, n int").repartition("key").dropDuplicates(["key", "node"])
-    entries = entries.withColumn("rows", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("rows > 1").drop("rows")
+    entries = chosen.mapInPandas(columns, "key long, salt int, node long, n int").repartition("key", "salt").dropDuplicates(["key", "salt", "node"])
+    entries = entries.withColumn("rows", F.count(F.lit(1)).over(Window.partitionBy("key", "salt"))).where("rows > 1 or salt > 0").drop("rows")
     entries = stored(entries, f"{folder}/entries")
-
-    profiles = told.where("segment is null and node is not null").groupBy("node").agg(F.first("profile").alias("profile"), F.first("n").alias("n"))
+    several = entries.select(F.col("node")).distinct()
+    bitmaps = told.where("bits is not null").join(several, "node", "left_semi").groupBy("node").agg(F.first("bits").alias("bits"), F.first("n").alias("n"))
+    bitmaps = stored(bitmaps, f"{folder}/bitmaps")
+    remove(spark, f"{folder}/told")
+    del told, several
+    release(spark)
 
     @F.pandas_udf("boolean")
-    def possible(pa_: pd.Series, pb: pd.Series, na: pd.Series, nb: pd.Series) -> pd.Series:
-        a = np.frombuffer(b"".join(map(bytes, pa_)), np.uint8).reshape(-1, BLOCKS)
-        b = np.frombuffer(b"".join(map(bytes, pb)), np.uint8).reshape(-1, BLOCKS)
-        na, nb = na.to_numpy(np.int64), nb.to_numpy(np.int64)
-        bound = np.where((a.max(1, initial=0) == 255) | (b.max(1, initial=0) == 255), np.minimum(na, nb), np.minimum(a, b).sum(1, dtype=np.int64))
-        return pd.Series((100 + percent) * bound >= percent * (na + nb))
+    def possible(x: pd.Series, y: pd.Series, m: pd.Series, n: pd.Series) -> pd.Series:
+        return pd.Series([(100 + percent) * overlap_bound(a, b, k, l) >= percent * (k + l) for a, b, k, l in zip(x, y, m.tolist(), n.tolist())], dtype=bool)
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
-        """Links among distinct pairs (a, b)."""
-        pa_, pb = (profiles.select(F.col("node").alias(x), F.col("profile").alias(f"p{x}"), F.col("n").alias(f"n{x}")) for x in "ab")
-        left = stored(pairs.join(pa_, "a").join(pb, "b").where(possible("pa", "pb", "na", "nb")).select("a", "b", "na", "nb"), f"{folder}/{name}-left")
-        ids = left.select(F.col("a").alias("node")).distinct().unionByName(left.select(F.col("b").alias("node")).distinct()).distinct()
-        filter_bits = int(np.clip(rows.bit_length() + 4, 16, 26))
-
-        def bloom(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            found = [bit_set(pdf["node"].to_numpy(np.int64), filter_bits) for pdf in batches]
-            if found:
-                yield pd.DataFrame({"blob": [zstandard.ZstdCompressor().compress(np.bitwise_or.reduce(found).tobytes())]})
-
-        asked = np.zeros((1 << filter_bits) // 8, np.uint8)
-        for row in ids.coalesce(8).mapInPandas(bloom, "blob binary").toLocalIterator():  # 8 MB each at most
-            asked |= np.frombuffer(un.decompress(row.blob), np.uint8)
-        sent = spark.sparkContext.broadcast(asked)
+        """Links among distinct pairs (a, b); the product's row blocks are those of an a."""
+        one, two = (bitmaps.select(F.col("node").alias(x), F.col("bits").alias(f"p{x}"), F.col("n").alias(f"n{x}")) for x in "ab")
+        left = stored(pairs.join(one, "a").join(two, "b").where(possible("pa", "pb", "na", "nb")).select("a", "b", "na", "nb"), f"{folder}/{name}-left")
+        count = left.count()
+        per = left.groupBy("a").agg(F.ceil(F.sum("nb") / ROWS).cast("int").alias("blocks"), F.count(F.lit(1)).alias("of"))
+        placed = spread_join(left, per, "a", "of", count).withColumn("block", F.pmod(F.hash("b"), F.col("blocks"))).drop("blocks")
+        placed = stored(placed, f"{folder}/{name}-placed")
+        remove(spark, f"{folder}/{name}-left")
+        asked = placed.select("a", "block", F.col("b").alias("node"), "na", "nb").unionByName(placed.select("a", "block", F.col("a").alias("node"), "na", F.lit(0).cast("long").alias("nb")).distinct())
+        filter_bits = int(np.clip(rows.bit_length() + 4, 16, 28))
+        sent = spark.sparkContext.broadcast(bloom(asked, "node", filter_bits))  # 32 MB at most
 
         def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             wanted, seen = sent.value, set()
@@ -188,77 +250,97 @@ def links_of(docs: DataFrame, folder: str, words: int = WORDS, percent: int = PE
                         nodes.append(node)
                         held.append(s.tobytes())
                 yield pd.DataFrame({"node": np.array(nodes, np.int64), "set": held})
-
-        held = chosen.mapInPandas(sets, "node long, set binary").join(ids, "node", "left_semi").groupBy("node").agg(F.first("set").alias("set"))
-        held = stored(held, f"{folder}/{name}-sets")
-
-        @F.pandas_udf("long")
-        def overlap(x: pd.Series, y: pd.Series) -> pd.Series:
-            return pd.Series([len(np.intersect1d(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64), assume_unique=True)) for a, b in zip(x, y)], dtype="int64")
-
-        a, b = (held.select(F.col("node").alias(x), F.col("set").alias(f"s{x}")) for x in "ab")
-        full = left.join(a, "a").join(b, "b").withColumn("overlap", overlap("sa", "sb")).where(f"{100 + percent} * overlap >= {percent} * (na + nb)")
-        links = stored(full.select("a", "b", "overlap"), f"{folder}/{name}")
-        remove(spark, f"{folder}/{name}-sets")
+            trim()
+
+        def product(key, pdf: pd.DataFrame) -> pd.DataFrame:
+            a, _ = key
+            sets_of = dict(zip(pdf["node"].tolist(), pdf["set"]))
+            own, out = np.frombuffer(sets_of[a], np.uint64), []
+            for b, m, n in zip(pdf["node"].tolist(), pdf["na"].tolist(), pdf["nb"].tolist()):
+                if n:
+                    shared = overlap(own, np.frombuffer(sets_of[b], np.uint64), -(-percent * (m + n) // (100 + percent)))
+                    if shared >= 0:
+                        out.append((a, b, shared))
+            return pd.DataFrame(out, columns=["a", "b", "overlap"])
+
+        # Copies of a set in several partitions meet in the exchange by node; each goes once to every row block that asks for it.
+        held = chosen.mapInPandas(sets, "node long, set binary").repartition("node").dropDuplicates(["node"])
+        full = asked.join(held, "node").groupBy("a", "block").applyInPandas(product, "a long, b long, overlap long")
+        links = stored(full, f"{folder}/{name}")
+        remove(spark, f"{folder}/{name}-placed")
+        sent.unpersist()
+        del held, full, asked, placed
+        release(spark)
         return links
 
     sizes_fit = "100 * least(n, m) >= {0} * greatest(n, m)".format(percent)
-    def star(rows_of: DataFrame, order: list, name: str) -> DataFrame:
-        """Pairs (a, b) of each column's rows with its pivots, the first rows by each order, that are in another component."""
-        picks = [F.max(F.struct(o.alias("h"), F.col("node").alias("pivot"), F.col("n").alias("m"), F.col("component").alias("apart"))).alias(f"h{j}") for j, o in enumerate(order)]
-        heads = rows_of.groupBy("key").agg(*picks)
-        heads = heads.select("key", F.explode(F.array_distinct(F.array(*[F.struct(f"h{j}.pivot", f"h{j}.m", f"h{j}.apart") for j in range(len(order))]))).alias("h")).select("key", "h.*")
-        made = rows_of.join(heads, "key").where("component <> apart").where(sizes_fit)
-        made = made.groupBy(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).agg(F.count(F.lit(1)).alias("shared"))
-        return stored(made.select("a", "b"), f"{folder}/{name}")
+
+    def back(rows_of: DataFrame, told_of: DataFrame) -> DataFrame:
+        """rows_of with what is told of their columns (key, salts, ...): a common column's rows stay dealt as they are."""
+        return rows_of.join(told_of.withColumn("salt", F.explode("salts")).drop("salts"), ["key", "salt"])
 
     # Each row of a column pairs with the column's pivots, its first rows by a few hashes.
-    tested = star(entries.withColumn("component", F.col("node")), [F.xxhash64("node", F.lit(j)) for j in range(pivots)], "star")
-    first = verified(tested, "first")
+    picks = [F.max(F.struct(F.xxhash64("node", F.lit(j)).alias("h"), F.col("node").alias("pivot"), F.col("n").alias("m"))).alias(f"h{j}") for j in range(pivots)]
+    heads = entries.groupBy("key").agg(F.collect_set("salt").alias("salts"), *picks, F.count(F.lit(1)).alias("rows")).where("rows > 1")
+    heads = heads.select("key", "salts", F.array_distinct(F.array(*[F.struct(f"h{j}.pivot", f"h{j}.m") for j in range(pivots)])).alias("heads"))
+    star = back(entries, heads).select("node", "n", F.explode("heads").alias("h")).select("node", "n", "h.*").where("node <> pivot").where(sizes_fit)
+    # (pivot, row); a pair whose rows are each other's pivots stands under the larger.
+    star = star.select(F.col("pivot").alias("a"), F.col("node").alias("b"), F.least("node", "pivot").alias("x"), F.greatest("node", "pivot").alias("y"))
+    tested = stored(star.groupBy("x", "y").agg(F.max(F.struct("a", "b")).alias("p")).select("p.a", "p.b", "x", "y"), f"{folder}/star")
+    first = verified(tested.select("a", "b"), "first")
     tied = stored(components(first, f"{folder}/tied"), f"{folder}/tied-nodes")
-    marked = stored(entries.join(tied, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("component")), f"{folder}/marked")
+    marked = stored(entries.join(tied, "node", "left").select("key", "salt", "node", "n", F.coalesce("component", "node").alias("component")), f"{folder}/marked")
+    remove(spark, f"{folder}/entries")
+    del entries, heads, star
+    release(spark)
 
     # Columns whose rows are in several components: their remaining pairs, all of them. Columns of up to `small` rows form them
-    # in a join, larger ones block by block in units of two row blocks, which give only pairs within the bounds. A pair is
-    # formed in the first of its large columns alone.
-    per_key = marked.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("rows")).where("x <> y").select("key", "rows")
-    open_rows = stored(marked.join(per_key, "key"), f"{folder}/open")
-    left = open_rows.where(F.col("rows") <= small).drop("rows")
+    # in a join. In a larger one the rows outside its largest component, the odd ones, meet all its rows, block by block, in
+    # units that give only pairs within the bounds. A pair is formed in the first of its large columns alone.
+    per = marked.groupBy("key", "component").agg(F.count(F.lit(1)).alias("rows"), F.collect_set("salt").alias("salts"))
+    per = per.groupBy("key").agg(F.sum("rows").alias("rows"), F.max(F.struct("rows", "component")).alias("most"), F.flatten(F.collect_set("salts")).alias("salts"), F.count(F.lit(1)).alias("parts"))
+    per = per.where("parts > 1").select("key", "rows", F.array_distinct("salts").alias("salts"), F.col("most.component").alias("major"), (F.col("rows") - F.col("most.rows")).alias("odd"))
+    open_rows = stored(back(marked, per), f"{folder}/open")
+    remove(spark, f"{folder}/marked")
+    left = open_rows.where(F.col("rows") <= small).select("key", "node", "n", "component")
     right = left.select("key", F.col("node").alias("other"), F.col("n").alias("m"), F.col("component").alias("apart"))
     rest = left.join(right, "key").where("node < other and component <> apart").where(sizes_fit).select(F.col("node").alias("a"), F.col("other").alias("b"))
     large = open_rows.where(F.col("rows") > small)
     if not large.isEmpty():
-        about = large.groupBy("node").agg(F.sort_array(F.collect_set("key")).alias("keys")).join(profiles.select("node", "profile"), "node")
-        placed = large.withColumn("block", F.floor((F.row_number().over(Window.partitionBy("key").orderBy("n", "node")) - 1) / block).cast("int")).withColumn("last", F.floor((F.col("rows") - 1) / block).cast("int"))
-        placed = placed.join(about, "node").withColumn("with", F.explode(F.sequence(F.lit(0), F.col("last"))))
-        placed = placed.select("key", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "node", "n", "component", "keys", "profile")
+        about = large.groupBy("node").agg(F.sort_array(F.collect_set("key")).alias("keys")).join(bitmaps.select("node", "bits"), "node")
+        blocks = lambda n: F.ceil(F.col(n) / block).cast("int")
+        both = large.join(about, "node").withColumns({"nb": blocks("rows"), "no": blocks("odd"), "is_odd": F.col("component") != F.col("major")})
+        common_columns = ["key", "i", "j", "node", "n", "component", "keys", "bits"]
+        every = both.withColumn("i", F.pmod(F.hash("node"), F.col("nb"))).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("no") - 1))).select(F.lit(0).alias("side"), *common_columns)
+        odd = both.where("is_odd").withColumn("j", F.pmod(F.xxhash64("node"), F.col("no")).cast("int")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).select(F.lit(1).alias("side"), *common_columns)
 
         def unit(key, pdf: pd.DataFrame) -> pd.DataFrame:
-            own, i, j = key
-            one, two = pdf[pdf["block"] == i], pdf[pdf["block"] == j]
-            cells = [np.frombuffer(b"".join(map(bytes, x["profile"])), np.uint8).reshape(-1, BLOCKS) for x in (one, two)]
-            sizes = [x["n"].to_numpy(np.int64) for x in (one, two)]
-            nodes = [x["node"].to_numpy(np.int64) for x in (one, two)]
-            apart = [x["component"].to_numpy(np.int64) for x in (one, two)]
-            keys = [[frozenset(k.tolist()) for k in x["keys"]] for x in (one, two)]
+            own = key[0]
+            pdf = pdf.reset_index(drop=True)
+            signs = np.stack([folded(np.frombuffer(b, np.uint8), LEAST_BITS // 8) for b in pdf["bits"]])
+            set_bits = np.bitwise_count(signs).sum(1, dtype=np.int64)
+            sizes, nodes, apart = (pdf[c].to_numpy(np.int64) for c in ("n", "node", "component"))
+            keys = [frozenset(k.tolist()) for k in pdf["keys"]]
+            one, two = np.flatnonzero(pdf["side"] == 0), np.flatnonzero(pdf["side"] == 1)
             out = []
-            for k in range(len(one)):
-                m, n = sizes[0][k], sizes[1]
-                bound = np.minimum(cells[0][k], cells[1]).sum(1, dtype=np.int64)
-                bound = np.where((cells[1].max(1) == 255) | (cells[0][k].max() == 255), np.minimum(m, n), bound)
-                fits = (100 * np.minimum(m, n) >= percent * np.maximum(m, n)) & ((100 + percent) * bound >= percent * (m + n)) & (apart[1] != apart[0][k])
-                fits &= (nodes[1] > nodes[0][k]) if i == j else (nodes[1] != nodes[0][k])
-                for q in np.flatnonzero(fits).tolist():
-                    if min(keys[0][k] & keys[1][q]) == own:
-                        x, y = nodes[0][k], nodes[1][q]
-                        out.append((min(x, y), max(x, y)))
+            for k in two.tolist():
+                m, n = sizes[k], sizes[one]
+                shared = np.bitwise_count(signs[k] & signs[one]).sum(1, dtype=np.int64)
+                bound = np.minimum(m - set_bits[k], n - set_bits[one]) + shared
+                fits = (100 * np.minimum(m, n) >= percent * np.maximum(m, n)) & ((100 + percent) * bound >= percent * (m + n)) & (apart[one] != apart[k])
+                for q in one[fits].tolist():
+                    if min(keys[k] & keys[q]) == own:
+                        out.append((min(nodes[k], nodes[q]), max(nodes[k], nodes[q])))
             return pd.DataFrame(out, columns=["a", "b"])
 
-        rest = rest.unionByName(placed.groupBy("key", "i", "j").applyInPandas(unit, "a long, b long"))
-    rest = rest.distinct().join(tested, ["a", "b"], "left_anti")
-    second = verified(rest.select("a", "b"), "second")
+        rest = rest.unionByName(every.unionByName(odd).groupBy("key", "i", "j").applyInPandas(unit, "a long, b long"))
+    rest = rest.distinct().join(tested.select(F.col("x").alias("a"), F.col("y").alias("b")), ["a", "b"], "left_anti")
+    second = verified(rest, "second")
+    for name in ("open", "star", "bitmaps"):
+        remove(spark, f"{folder}/{name}")
     links = first.unionByName(second)
-    return members, links, components(links, f"{folder}/all")
+    found = stored(components(links, f"{folder}/all"), f"{folder}/components")
+    return members, links, found
 
 
 def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -266,17 +348,21 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFra
 
     A link: 100 * intersection >= percent * union of the sets of `words`-word shingles. Copies have one set and one component.
     Null and empty texts, and texts without words, have no shingles and are linked with nothing: a component of their own. A
-    null doc_id gets the component of its copies and near copies (null if it has none with an id). Repeated rows stay. Sets
-    are told apart by 64-bit hashes. Pairs inside a component are not all formed, so the number of a row's links isn't given.
+    null doc_id gets the component of its copies and near copies (null if it has none with an id). Repeated rows stay, and so
+    do all documents of a doc_id that occurs with several texts. Texts of any length are read whole; other columns are ignored,
+    whatever their names, and no rows give no rows. Sets are told apart by 64-bit hashes. Pairs inside a component are not all
+    formed, so the number of a row's links isn't given.
     """
     spark = docs.sparkSession
     folder = shared_folder(spark, "ngram-join")
     members, _, tied = links_of(docs, folder, words, percent)
     nodes = members.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"))
-    known = nodes.join(tied, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    known = stored(known, f"{folder}/known")
-    named = known.groupBy("component").agg(F.min("least").alias("component_id"))
-    known = known.join(named, "component").select("node", "component_id")
+    known = stored(nodes.join(tied, "node", "left"), f"{folder}/known")
+    # Only linked nodes ask for their component's least id; a large component is dealt over 16 keys.
+    linked = known.where("component is not null")
+    named = linked.groupBy("component").agg(F.min("least").alias("component_id")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(15))))
+    linked = linked.withColumn("salt", F.pmod(F.hash("node"), F.lit(16))).join(named, ["component", "salt"]).select("node", "component_id")
+    known = known.where("component is null").select("node", F.col("least").alias("component_id")).unionByName(linked)
     out = members.join(known, "node", "left")
     alone = F.col("node").isNull()
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))

@@ -22,7 +22,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waymark.llm.common import blank_words, distinct, remove, shared_folder, stored, summed_segments, table, texts, trim, vector_rows, word_hashes
+from waymark.llm.common import blank_words, distinct, remove, segment_of, shared_folder, stored, summed_segments, table, texts, trim, vector_rows, word_hashes
 
 BITS, SEGMENTS = 20, 16
 POOLS = ("target", "low", "toxic")
@@ -196,9 +196,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_labels: int = 500_000, significa
     made = chosen.mapInPandas(count, "pool int, segment int, blob binary")
     total = np.zeros((len(POOLS), 1 << BITS), np.int64)
     size = (1 << BITS) // SEGMENTS
-    un = zstandard.ZstdDecompressor()
     for row in summed_segments(made, ["pool", "segment"], size).toLocalIterator():  # 48 vectors of fixed size
-        total[row.pool, row.segment * size : (row.segment + 1) * size] = np.frombuffer(un.decompress(row.blob), "<i8")
+        total[row.pool, row.segment * size : (row.segment + 1) * size] = segment_of(row.blob, size)
     return ratios(total, significance), shares
 
 
