@@ -36,7 +36,8 @@ def test_stages_solve(spark):
     assert (one["s1_status"] == "optimal").mean() > 0.95
     good = one[one["s1_status"] == "optimal"]
     assert good["vehicle_accel"].between(-4.0001, 5.0001).all() and good["vehicle_speed"].between(-1e-4, 20.0001).all()
-    assert set(QUERIES["optimize_stage2"](spark, SF).toPandas()["s2_status"]) <= {"optimal", "infeasible"}
+    two = QUERIES["optimize_stage2"](spark, SF).toPandas()
+    assert (two["s2_status"] == "optimal").mean() > 0.5 and set(two["s2_status"]) <= {"optimal", "infeasible", "failed"}
 
 
 def test_entry(spark):

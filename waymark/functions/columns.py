@@ -7,20 +7,27 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Speed units and their factor to metres a second.
-TO_MPS = {"m/s": 1.0, "km/h": 1 / 3.6, "mph": 0.44704}
+#: Speed units, all their names, and their factor to metres a second.
+TO_MPS = {"mps": 1.0, "m/s": 1.0, "ms": 1.0, "m_s": 1.0, "kmh": 1 / 3.6, "km/h": 1 / 3.6, "kph": 1 / 3.6, "mph": 0.44704}
 #: Accepted names of the standard columns, first match wins.
 ALIASES = {
-    "timestep_time": ("timestep_time", "time", "timestamp", "t", "timestep"),
-    "vehicle_id": ("vehicle_id", "veh_id", "id", "car_id", "vehicle"),
-    "vehicle_speed": ("vehicle_speed", "speed", "v", "velocity"),
-    "vehicle_accel": ("vehicle_accel", "accel", "acceleration", "a", "vehicle_acceleration"),
-    "vehicle_jerk": ("vehicle_jerk", "jerk"),
-    "vehicle_odometer": ("vehicle_odometer", "odometer", "odo", "distance"),
-    "vehicle_type": ("vehicle_type", "type", "veh_type"),
+    "timestep_time": ("timestep_time", "time", "timestamp", "t", "sec", "secs", "second", "seconds"),
+    "vehicle_id": ("vehicle_id", "veh_id", "vehid", "id", "veh", "vehicle"),
+    "vehicle_type": ("vehicle_type", "veh_type", "vtype", "type", "class", "vclass"),
+    "vehicle_speed": ("vehicle_speed", "speed", "v", "vel", "velocity", "veh_speed"),
+    "vehicle_accel": ("vehicle_accel", "vehicle_acceleration", "accel", "acceleration", "a", "veh_accel"),
+    "vehicle_jerk": ("vehicle_jerk", "jerk", "j"),
+    "vehicle_odometer": ("vehicle_odometer", "odometer", "odo", "distance", "dist", "s", "pos", "mileage"),
 }
-#: Pairs of x and y names by priority.
+#: Pairs of x and y names by priority, and the names of one of them where no pair is there.
 PAIRS = (("vehicle_x", "vehicle_y"), ("coordinate_x", "coordinate_y"), ("coord_x", "coord_y"), ("pos_x", "pos_y"), ("position_x", "position_y"), ("location_x", "location_y"), ("x", "y"))
+SINGLES = {
+    "vehicle_x": ("vehicle_x", "x", "pos_x", "position_x", "location_x", "coord_x", "coordinate_x"),
+    "vehicle_y": ("vehicle_y", "y", "pos_y", "position_y", "location_y", "coord_y", "coordinate_y"),
+}
+#: Names that older files use.
+LEGACY = {"car_speed": "vehicle_speed", "car_accel": "vehicle_accel", "car_jerk": "vehicle_jerk", "coord_x": "vehicle_x", "coord_y": "vehicle_y"}
+LEGACY_TRIP = "工况ID"
 
 
 def number(c: Column | str) -> Column:
@@ -29,11 +36,28 @@ def number(c: Column | str) -> Column:
     return F.when(~F.isnan(c), c)
 
 
+def finite(c: Column) -> Column:
+    """Null for infinities too: they take no part in differences and sums."""
+    return F.when(F.abs(c) < F.lit(float("inf")), c)
+
+
+def known_unit(unit: str) -> bool:
+    return unit.strip().lower() in TO_MPS
+
+
+def converts(unit: str) -> bool:
+    return TO_MPS.get(unit.strip().lower(), 1.0) != 1.0
+
+
 def to_mps(speed: Column, unit: str) -> Column:
-    """Speed in m/s; an unknown unit leaves it as it is."""
+    """Speed in m/s; an unknown unit leaves it as it is (known_unit tells)."""
     return speed * F.lit(TO_MPS.get(unit.strip().lower(), 1.0))
 
 
+def to_kmh(speed: Column) -> Column:
+    return speed * 3.6
+
+
 def half_even(c: Column, decimals: int) -> Column:
     return F.rint(c * float(10**decimals)) / float(10**decimals)
 
@@ -67,33 +91,50 @@ def last_outer_edge(edges: Column) -> Column:
 
 def plain_name(name: str) -> str:
     """A column name as it is compared: trimmed, lower case, blanks as underscores."""
-    return re.sub(r"\s+", "_", name.strip().lower())
-
-
-def safe_file_name(name: str) -> str:
-    return re.sub(r"[^\w.-]+", "_", name.strip()) or "_"
-
-
-def resolve_columns(df: DataFrame) -> tuple[DataFrame, list[str]]:
-    """df with the nine standard columns, found by alias; and what is missing. Missing ones are null, a missing type 'unknown'."""
-    by_name = {plain_name(c): c for c in reversed(df.columns)}
-    chosen, missing = [], []
-    for standard, names in ALIASES.items():
-        found = next((by_name[n] for n in names if n in by_name), None)
-        kind = "string" if standard in ("vehicle_id", "vehicle_type") else "double"
-        if found is None:
-            missing.append(standard)
-            chosen.append((F.lit("unknown") if standard == "vehicle_type" else F.lit(None)).cast(kind).alias(standard))
-        else:
-            c = F.col(f"`{found}`")
-            chosen.append((c.cast("string") if kind == "string" else number(c)).alias(standard))
-    pair = next(((by_name[x], by_name[y]) for x, y in PAIRS if x in by_name and y in by_name), None)
-    for k, standard in enumerate(("vehicle_x", "vehicle_y")):
-        found = pair[k] if pair else next((by_name[p[k]] for p in PAIRS if p[k] in by_name), None)
-        if found is None:
-            missing.append(standard)
-        chosen.append((number(F.col(f"`{found}`")) if found else F.lit(None).cast("double")).alias(standard))
-    return df.select(*chosen), missing
+    return name.strip().lower().replace(" ", "_")
+
+
+def safe_file_name(name: str, dots: bool = False, collapse: bool = False) -> str:
+    """A name without the characters that file systems refuse, each as an underscore; dots too, or runs of them and of white
+    space as one underscore that is trimmed at the ends."""
+    if collapse:
+        return re.sub(r'[\\/*?:"<>|.\s]+', "_", str(name)).strip("_")
+    return re.sub(r'[\\/*?:"<>|.]' if dots else r'[\\/*?:"<>|]', "_", str(name))
+
+
+def renamed(df: DataFrame, names: dict[str, str]) -> DataFrame:
+    """df with the old names that it has as the new ones; a name that is already there stays."""
+    for old, new in names.items():
+        if old in df.columns and new not in df.columns:
+            df = df.withColumnRenamed(old, new)
+    return df
+
+
+def resolve_columns(df: DataFrame) -> tuple[DataFrame, dict[str, str | None], list[str]]:
+    """df as the nine standard columns, which source column each comes from (None: it is null), and warnings.
+
+    Of source names that compare equal the last counts. x and y are taken as a pair, by the pairs' priority, and one by one only
+    where no pair is there.
+    """
+    by_name = {plain_name(c): k for k, c in enumerate(df.columns)}
+    plain = df.toDF(*[f"c{k}" for k in range(len(df.columns))])
+    used: dict[str, int | None] = {s: next((by_name[n] for n in names if n in by_name), None) for s, names in ALIASES.items()}
+    warnings = []
+    pair = next(((x, y) for x, y in PAIRS if x in by_name and y in by_name), None)
+    if pair:
+        used |= {"vehicle_x": by_name[pair[0]], "vehicle_y": by_name[pair[1]]}
+        if pair == PAIRS[-1]:
+            warnings.append("x and y are taken as coordinates")
+    else:
+        used |= {s: next((by_name[n] for n in names if n in by_name), None) for s, names in SINGLES.items()}
+        if used["vehicle_x"] is None or used["vehicle_y"] is None:
+            warnings.append("no pair of coordinates")
+    chosen = []
+    for standard, k in used.items():
+        text = standard in ("vehicle_id", "vehicle_type")
+        source = F.lit(None) if k is None else F.col(f"c{k}")
+        chosen.append((source.cast("string") if text else number(source)).alias(standard))
+    return plain.select(*chosen), {s: None if k is None else df.columns[k] for s, k in used.items()}, warnings
 
 
 def require_columns(df: DataFrame, names: list[str]) -> None:

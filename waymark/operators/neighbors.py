@@ -5,45 +5,51 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from waymark.functions.columns import lane_to_edge
+from waymark.functions.columns import lane_to_edge, renamed
 from waymark.operators.topology import reach
 
 SIDES = {"following": True, "preceding": False}  # the names that the data's users know: following_ is the one ahead
+PLACED = "vehicle_lane is not null and vehicle_pos is not null"
 
 
-def beside(fcd: DataFrame, links: DataFrame, lengths: DataFrame, ahead: bool, hop: int = 2) -> DataFrame:
-    """fcd rows with the nearest vehicle strictly ahead (behind) on reachable lanes at the same time: other_id, pos, speed, lane and headway.
+def lane_table(lengths: DataFrame) -> DataFrame:
+    """lane_id and length of a table that may name them vehicle_lane and lane_length."""
+    return renamed(lengths, {"vehicle_lane": "lane_id", "lane_length": "length"})
 
-    Candidates at the same place collapse to one (the least id ahead, the greatest behind); a running last value over distinct
-    places then finds the nearest, so no pairs are formed. The reach table is as large as the lane graph, not as the data.
+
+def neighbors(fcd: DataFrame, links: DataFrame, lengths: DataFrame, hop: int = 2, merge_lane_length: bool = True) -> DataFrame:
+    """fcd with lane length, edge and both neighbours: the nearest vehicle strictly ahead (behind) on reachable lanes at the same time.
+
+    Of rows of a vehicle at the same time the first by lane and place counts. Every row is a candidate on its own lane and, by
+    the reach table, which is as large as the lane graph, on the lanes it can be seen from. One exchange by time and lane
+    brings candidates and rows together; candidates at one place collapse to one (the least id ahead, the greatest behind), and
+    running last values over distinct places find the nearest on both sides, so no pairs are formed and nothing is joined back.
     """
-    sign = 1 if ahead else -1
-    tie = F.min if ahead else F.max
-    lanes = reach(links, lengths, hop, ahead).select(F.col("lane_id").alias("ego_lane"), F.col("other").alias("vehicle_lane"), "offset")
-    there = fcd.where("vehicle_lane is not null and vehicle_pos is not null").join(lanes, "vehicle_lane")
-    found = there.groupBy("timestep_time", "ego_lane", (F.col("vehicle_pos") + sign * F.col("offset")).alias("p")).agg(
-        tie(F.struct("vehicle_id", F.col("vehicle_pos").alias("flow_pos"), "vehicle_speed", "vehicle_lane")).alias("who")
-    )
-    asked = fcd.where("vehicle_lane is not null and vehicle_pos is not null").select("timestep_time", F.col("vehicle_lane").alias("ego_lane"), F.col("vehicle_pos").alias("p")).distinct()
-    both = found.unionByName(asked.withColumn("who", F.lit(None).cast(found.schema["who"].dataType)))
-    both = both.groupBy("timestep_time", "ego_lane", "p").agg(F.first("who", ignorenulls=True).alias("who"))
-    w = Window.partitionBy("timestep_time", "ego_lane").orderBy(F.desc("p") if ahead else F.asc("p")).rowsBetween(Window.unboundedPreceding, -1)
-    near = both.withColumn("near", F.last(F.when(F.col("who").isNotNull(), F.struct("who", "p")), ignorenulls=True).over(w))
-    near = near.select("timestep_time", F.col("ego_lane").alias("vehicle_lane"), F.col("p").alias("vehicle_pos"), "near.who", (sign * (F.col("near.p") - F.col("p"))).alias("headway_distance"))
-    return fcd.join(near, ["timestep_time", "vehicle_lane", "vehicle_pos"], "left")
-
-
-def neighbors(fcd: DataFrame, links: DataFrame, lengths: DataFrame, hop: int = 2) -> DataFrame:
-    """fcd with lane length, edge and both neighbours. Of rows of a vehicle at the same time the first by lane and place counts."""
+    lengths = lane_table(lengths)
     w = Window.partitionBy("vehicle_id", "timestep_time").orderBy("vehicle_lane", "vehicle_pos", "vehicle_speed")
-    out = fcd.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
-    base = out
+    base = fcd.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+    who = F.struct("vehicle_id", F.col("vehicle_pos").alias("flow_pos"), "vehicle_speed", "vehicle_lane")
+    nobody = F.lit(None).cast(base.select(who.alias("w")).schema["w"].dataType)
+    row = F.struct(*[F.col(f"`{c}`") for c in base.columns])
+    nothing = F.lit(None).cast(base.select(row.alias("r")).schema["r"].dataType)
+    placed = base.where(PLACED)
+    seen = placed.select("timestep_time", F.col("vehicle_lane").alias("ego_lane"), F.col("vehicle_pos").alias("p"), who.alias("ahead"), who.alias("behind"), row.alias("ego"))
+    for side, ahead in SIDES.items():
+        lanes = reach(links, lengths, hop, ahead).where("lane_id <> other").select(F.col("lane_id").alias("ego_lane"), F.col("other").alias("vehicle_lane"), "offset")
+        there = placed.join(lanes, "vehicle_lane")
+        p = F.col("vehicle_pos") + F.col("offset") if ahead else F.col("vehicle_pos") - F.col("offset")
+        seen = seen.unionByName(there.select("timestep_time", "ego_lane", p.alias("p"), (who if ahead else nobody).alias("ahead"), (nobody if ahead else who).alias("behind"), nothing.alias("ego")))
+    met = seen.repartition("timestep_time", "ego_lane").groupBy("timestep_time", "ego_lane", "p").agg(F.min("ahead").alias("ahead"), F.max("behind").alias("behind"), F.collect_list("ego").alias("egos"))
     for side, ahead in SIDES.items():
-        found = beside(base, links, lengths, ahead, hop)
-        chosen = found.select(
-            "vehicle_id", "timestep_time",
-            *[F.col(f"who.{c}").alias(f"{side}_{c}") for c in ("vehicle_id", "flow_pos", "vehicle_speed", "vehicle_lane")], F.col("headway_distance").alias(f"{side}_headway_distance"),
-        )
-        out = out.join(chosen, ["vehicle_id", "timestep_time"], "left")
-    size = lengths.groupBy("lane_id").agg(F.first("length").alias("lane_length")).withColumnRenamed("lane_id", "vehicle_lane")
-    return out.join(size, "vehicle_lane", "left").withColumn("vehicle_edge", lane_to_edge(F.col("vehicle_lane")))
+        own = "ahead" if ahead else "behind"
+        w = Window.partitionBy("timestep_time", "ego_lane").orderBy(F.desc("p") if ahead else F.asc("p")).rowsBetween(Window.unboundedPreceding, -1)
+        met = met.withColumn(side, F.last(F.when(F.col(own).isNotNull(), F.struct(F.col(own).alias("who"), "p")), ignorenulls=True).over(w))
+    found = met.where(F.size("egos") > 0).select("p", *SIDES, F.explode("egos").alias("ego"))
+    columns = {f"{side}_{c}": F.col(f"{side}.who.{c}") for side in SIDES for c in ("vehicle_id", "flow_pos", "vehicle_speed", "vehicle_lane")}
+    columns |= {f"{side}_headway_distance": (F.col(f"{side}.p") - F.col("p")) * (1 if ahead else -1) for side, ahead in SIDES.items()}
+    found = found.select("ego.*", *[c.alias(name) for name, c in columns.items()])
+    out = found.unionByName(base.where(f"not ({PLACED})"), allowMissingColumns=True)
+    if merge_lane_length:
+        size = lengths.groupBy("lane_id").agg(F.first("length").alias("lane_length")).withColumnRenamed("lane_id", "vehicle_lane")
+        out = out.join(size, "vehicle_lane", "left")
+    return out if "vehicle_edge" in fcd.columns else out.withColumn("vehicle_edge", lane_to_edge(F.col("vehicle_lane")))

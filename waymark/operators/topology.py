@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,7 +25,13 @@ def with_sinks(links: DataFrame, lengths: DataFrame) -> DataFrame:
 def lane_links_full(links: DataFrame, lengths: DataFrame) -> DataFrame:
     """Links with the lengths of both lanes."""
     ahead = lengths.select(F.col("lane_id").alias("next_lane_id"), F.col("length").alias("next_lane_length"))
-    return with_sinks(links, lengths).join(lengths.withColumnRenamed("length", "lane_length"), "lane_id", "left").join(ahead, "next_lane_id", "left").select("lane_id", "next_lane_id", "lane_length", "next_lane_length")
+    full = with_sinks(links, lengths).join(lengths.withColumnRenamed("length", "lane_length"), "lane_id", "left").join(ahead, "next_lane_id", "left")
+    return full.select("lane_id", "next_lane_id", "lane_length", "next_lane_length").orderBy(F.asc_nulls_last("lane_id"), F.asc_nulls_last("next_lane_id"))
+
+
+def lane_lengths(lengths: DataFrame) -> DataFrame:
+    """One row a lane, in order; of several lengths the least counts."""
+    return lengths.groupBy("lane_id").agg(F.min("length").alias("length")).orderBy("lane_id")
 
 
 def degrees(links: DataFrame) -> DataFrame:
@@ -53,9 +61,18 @@ def reach(links: DataFrame, lengths: DataFrame, hop: int = 2, forward: bool = Tr
     return found.groupBy("lane_id", "other").agg(F.min("offset").alias("offset"))
 
 
-def simple_paths(links: DataFrame, max_paths: int = 100_000) -> DataFrame:
+class TooManyPaths(RuntimeError):
+    """More path prefixes than max_steps."""
+
+
+def simple_paths(links: DataFrame, max_steps: int = 100_000, on_limit: str = "raise") -> DataFrame:
     """Simple paths from lanes that nothing enters: to a sink, or to where the next lane is already on the path. Distinct, with
-    path_id by lexicographic order. Without such a lane those that aren't one in, one out start, else all do."""
+    path_id by lexicographic order. Without such a lane those that aren't one in, one out start, else all do.
+
+    max_steps bounds the prefixes looked at. Beyond it the call fails, or with on_limit="cut" gives the paths closed so far and
+    warns that they aren't all.
+    """
+    spark = links.sparkSession
     real = links.where("next_lane_id is not null").select(F.col("lane_id").alias("a"), F.col("next_lane_id").alias("b")).distinct()
     d = degrees(links)
     starts = d.where("in_degree = 0")
@@ -69,17 +86,34 @@ def simple_paths(links: DataFrame, max_paths: int = 100_000) -> DataFrame:
         closed = grown.where("b is null or array_contains(path, b)").select("path").distinct()
         done = closed if done is None else done.unionByName(closed)
         now = grown.where("b is not null and not array_contains(path, b)").select(F.concat("path", F.array("b")).alias("path"))
-        if "spark.checkpoint.dir" in {k for k, _ in links.sparkSession.sparkContext.getConf().getAll()}:
+        if spark.conf.get("spark.checkpoint.dir", None):
+            if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+                spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
             now = now.checkpoint()
         n = now.count()
         seen += n
-        if not n or seen > max_paths:
+        if seen > max_steps:
+            if on_limit != "cut":
+                raise TooManyPaths(f"more than {max_steps} path prefixes")
+            warnings.warn(f"paths are cut off after {max_steps} prefixes", stacklevel=2)
+            break
+        if not n:
             break
-    return done.distinct().select((F.row_number().over(Window.orderBy("path")) - 1).cast("long").alias("path_id"), "path")
+    return done.distinct().select((F.row_number().over(Window.orderBy("path")) - 1).cast("long").alias("path_id"), "path")  # max_steps rows at most
+
+
+def edge_links(links: DataFrame) -> DataFrame:
+    """Distinct links between edges, those within one left out."""
+    pairs = links.where("next_lane_id is not null").select(lane_to_edge(F.col("lane_id")).alias("edge_id"), lane_to_edge(F.col("next_lane_id")).alias("next_edge_id"))
+    return pairs.where("edge_id <> next_edge_id").distinct()
 
 
 def path_tables(paths: DataFrame, lengths: DataFrame, links: DataFrame, flows: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(one row for each path, one for each edge of a path): runs of lanes on the same edge become one, equal paths one."""
+    """(one row for each path, one for each edge of a path): runs of lanes on the same edge become one, equal paths one.
+
+    path_id counts the distinct paths from 0 in the order of the paths given, EdgeLane_seq a path's edges from 0. An end is strict
+    where no link between edges enters the first edge or leaves the last; an edge without links is.
+    """
     lanes = paths.select("path_id", F.posexplode("path").alias("pos", "lane_id"))
     lanes = lanes.join(lengths.groupBy("lane_id").agg(F.first("length").alias("length")), "lane_id", "left").withColumn("edge", lane_to_edge(F.col("lane_id")))
     w = Window.partitionBy("path_id").orderBy("pos")
@@ -87,16 +121,25 @@ def path_tables(paths: DataFrame, lengths: DataFrame, links: DataFrame, flows: D
     edges = lanes.groupBy("path_id", "block").agg(F.first("edge").alias("EdgeLane_id"), F.coalesce(F.sum("length"), F.lit(0.0)).alias("EdgeLane_length"))
     signature = edges.groupBy("path_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("block", "EdgeLane_id"))), lambda x: x["EdgeLane_id"]).alias("edge_seq"))
     kept = signature.groupBy("edge_seq").agg(F.min("path_id").alias("path_id"))
+    kept = kept.withColumn("new_id", (F.row_number().over(Window.orderBy("path_id")) - 1).cast("long"))  # as many rows as simple_paths allows
     order = Window.partitionBy("path_id").orderBy("block")
-    long = edges.join(kept, "path_id").withColumn("EdgeLane_seq", F.row_number().over(order).cast("long"))
+    long = edges.join(kept, "path_id").withColumn("path_id", F.col("new_id")).drop("new_id").withColumn("EdgeLane_seq", (F.row_number().over(order) - 1).cast("long"))
     long = long.withColumn("cum_length", F.sum("EdgeLane_length").over(order)).withColumn("cum_length_prev", F.coalesce(F.lag("cum_length").over(order), F.lit(0.0)))
     long = long.withColumn("from_edge", first_outer_edge(F.col("edge_seq"))).withColumn("to_edge", last_outer_edge(F.col("edge_seq")))
     long = long.join(best_flows(flows), ["from_edge", "to_edge"], "left") if flows is not None else long.withColumn("flow_id", F.lit(None).cast("string"))
-    d = degrees(links).withColumn("edge", lane_to_edge(F.col("node"))).groupBy("edge").agg(F.max("in_degree").alias("i"), F.max("out_degree").alias("o"))
     table = long.groupBy("path_id").agg(F.max("cum_length").alias("path_len"), F.count(F.lit(1)).alias("n_edge_lanes"), F.min_by("EdgeLane_id", "EdgeLane_seq").alias("start_edge_lane"), F.max_by("EdgeLane_id", "EdgeLane_seq").alias("end_edge_lane"))
-    ends = lambda name, deg, flag: d.select(F.col("edge").alias(name), (F.col(deg) == 0).alias(flag))
-    table = table.join(ends("start_edge_lane", "i", "is_strict_start_edge"), "start_edge_lane", "left").join(ends("end_edge_lane", "o", "is_strict_end_edge"), "end_edge_lane", "left")
-    return table, long.drop("edge_seq")
+    real = edge_links(links)
+    entered = real.select(F.col("next_edge_id").alias("start_edge_lane"), F.lit(False).alias("is_strict_start_edge")).distinct()
+    left = real.select(F.col("edge_id").alias("end_edge_lane"), F.lit(False).alias("is_strict_end_edge")).distinct()
+    table = table.join(entered, "start_edge_lane", "left").join(left, "end_edge_lane", "left")
+    flags = {c: F.coalesce(c, F.lit(True)) for c in ("is_strict_start_edge", "is_strict_end_edge")}
+    return table.withColumns(flags).select("path_id", "path_len", "n_edge_lanes", "start_edge_lane", "end_edge_lane", *flags), long.drop("edge_seq")
+
+
+def topology_tables(links: DataFrame, lengths: DataFrame, flows: DataFrame | None = None, max_steps: int = 100_000) -> dict[str, DataFrame]:
+    """The four tables of a network: paths, paths_long, lane_links_full and lane_lengths."""
+    table, long = path_tables(simple_paths(links, max_steps), lengths, links, flows)
+    return {"paths": table, "paths_long": long, "lane_links_full": lane_links_full(links, lengths), "lane_lengths": lane_lengths(lengths)}
 
 
 def outer_links(links: DataFrame) -> DataFrame:

@@ -22,13 +22,22 @@ def segments(df: DataFrame, vehicle: str = "vehicle_id", t: str = "timestep_time
     return marked.withColumn("segment", F.coalesce("_drive", F.greatest(by_one, before), F.lit(-1)).cast("long")).drop("_rest", "_drive")
 
 
-def trip_ids(df: DataFrame, vehicle: str = "vehicle_id", prefix: int = 3) -> DataFrame:
-    """Adds `trip_id`, the place of (vehicle, segment) among all. Keys are counted by name prefix, so no task ranks them all."""
-    keys = df.select(vehicle, "segment").distinct().withColumn("_p", F.substring(vehicle, 1, prefix))
-    offsets = keys.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
+def trip_ids(df: DataFrame, vehicle: str = "vehicle_id", parts: int = 32, sample: int = 1024) -> DataFrame:
+    """Adds `trip_id`, the place of (vehicle, segment) among all, from 1. Rows without a vehicle stay and have none.
+
+    No task ranks all keys: distinct keys are dealt into ranges of vehicles, numbered within each, and moved by the counts of the
+    ranges before. The cuts between ranges are quantiles of a sample of vehicles, `sample` of them by a hash, so they hold
+    whatever prefix the names share.
+    """
+    keys = df.where(F.col(vehicle).isNotNull()).select(vehicle, "segment").distinct()
+    some = sorted(r[0] for r in keys.select(vehicle).distinct().orderBy(F.xxhash64(vehicle)).limit(sample).collect())
+    cuts = sorted({some[len(some) * k // parts] for k in range(1, parts)}) if some else []
+    place = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= F.col(vehicle))) if cuts else F.lit(0)
+    keys = keys.withColumn("_p", place)
+    offsets = keys.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))  # `parts` rows at most
     offsets = offsets.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-    ranked = keys.join(offsets, "_p").withColumn("trip_id", F.col("_before") + F.row_number().over(Window.partitionBy("_p").orderBy(vehicle, "segment")))
-    return df.join(ranked.select(vehicle, "segment", "trip_id"), [vehicle, "segment"])
+    ranked = keys.join(F.broadcast(offsets), "_p").withColumn("trip_id", F.col("_before") + F.row_number().over(Window.partitionBy("_p").orderBy(vehicle, "segment")))
+    return df.join(ranked.select(vehicle, "segment", "trip_id"), [vehicle, "segment"], "left")
 
 
 def split_trips(df: DataFrame, **names: str) -> DataFrame:
@@ -57,7 +66,7 @@ def kinematics_backward(df: DataFrame, dt: float = 1.0, vehicle: str = "vehicle_
     w = Window.partitionBy(vehicle).orderBy(t)
     out = df.withColumn("vehicle_accel", F.coalesce(F.col(v) - F.lag(v).over(w), F.lit(0.0)) / dt)
     out = out.withColumn("vehicle_jerk", F.coalesce(F.col("vehicle_accel") - F.lag("vehicle_accel").over(w), F.lit(0.0)) / dt)
-    step = F.col(v) * dt + 0.5 * F.col("vehicle_accel") * dt * dt
+    step = F.coalesce(F.col(v), F.lit(0.0)) * dt + F.coalesce("vehicle_accel", F.lit(0.0)) * (0.5 * dt * dt)
     return out.withColumn("vehicle_odometer", F.sum(step).over(w.rowsBetween(Window.unboundedPreceding, 0)))
 
 

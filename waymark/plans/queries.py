@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waymark.functions.columns import to_mps
+from waymark.functions.columns import number, to_mps
 from waymark.operators import envelope as env
 from waymark.operators import merge, neighbors, optimize, smooth, standardize, topology, trips
+from waymark.sources import network
 from waymark.sources.adapter import fcd, fleet, snapshots
 
 LINKS = (("click", "view"), ("view", "purchase"), ("purchase", "signup"), ("view", "signup"), ("signup", "error"), ("error", "click"))
 LENGTHS = (("click", 120.0), ("view", 80.5), ("purchase", 60.25), ("signup", 200.0), ("error", 40.0))
-PLAIN_LINKS = (("a_0", ":j_0"), (":j_0", "b_0"), ("b_0", "c_0"), ("b_0", "d_0"), ("d_0", "e_0"), ("e_0", "b_0"), ("c_0", "f_1"), ("g_0", "c_0"))
-PLAIN_LENGTHS = (("a_0", 10.0), (":j_0", 2.0), ("b_0", 20.0), ("c_0", 5.5), ("d_0", 7.0), ("e_0", 9.0), ("f_1", 3.0), ("g_0", 4.0))
+PLAIN_LINKS = (("a_0", "a_1"), ("a_1", ":j_0"), ("a_0", ":j_0"), (":j_0", "b_0"), ("b_0", "c_0"), ("b_0", "d_0"), ("d_0", "e_0"), ("e_0", "b_0"), ("c_0", "f_1"), ("g_0", "c_0"))
+PLAIN_LENGTHS = (("a_0", 10.0), ("a_1", 4.0), (":j_0", 2.0), ("b_0", 20.0), ("c_0", 5.5), ("d_0", 7.0), ("e_0", 9.0), ("f_1", 3.0), ("g_0", 4.0))
 
 
 def pairs(spark: SparkSession, rows, schema: str) -> DataFrame:
@@ -60,9 +64,93 @@ def profile(spark, d):
     return trips.kinematics_backward(with_trips(spark, d).withColumn("trip_id", F.col("trip_id").cast("string")))
 
 
+def gappy(spark, d):
+    """The profile with some speeds missing: checks leave these rows out before they number the others."""
+    return profile(spark, d).withColumn("vehicle_speed", F.when(F.col("event_id") % 13 != 0, F.col("vehicle_speed")))
+
+
+def _filtered(spark, d):
+    """The filter's points with its one-row stats beside them."""
+    made = env.filter_cases(gappy(spark, d), limits(spark), dt=0.5)
+    return r6(made["points"].crossJoin(made["stats"]).select("trip_id", "vehicle_id", "timestep_time", "accel_next", "jerk", "accel_round", "has_thr", "in_env", "idx", "n", "total_cases", "bad_cases", "ok_cases", "jerk_points", "mid_points"))
+
+
+def _smoothed(spark, d):
+    return r6(smooth.smooth_trips(profile(spark, d)))
+
+
+def _methods(spark, d):
+    """Both methods as raw files have them, through the whole merge."""
+    base, other = methods(spark, d)
+    raw = with_trips(spark, d).select("vehicle_id", "timestep_time", F.col("trip_id").cast("string").alias("trip_id"))
+    one = base.join(raw, ["vehicle_id", "timestep_time"]).drop("vehicle_odometer", "vehicle_accel")
+    one = one.withColumnsRenamed({"vehicle_x": "coord_x", "vehicle_y": "coord_y"})
+    two = other.join(raw, ["vehicle_id", "timestep_time"]).select("trip_id", "vehicle_id", "timestep_time", F.col("vehicle_speed").cast("string").alias("car_speed"))
+    out = merge.merge_methods(one, {"RVST": two}, keep_trip_and_jerk=True)
+    return r6(out.select("data_type", "vehicle_id", "timestep_time", "vehicle_speed", "vehicle_accel", "vehicle_jerk", "vehicle_odometer", "vehicle_type", "trip_id"))
+
+
+def _motion(spark, d):
+    base, other = methods(spark, d)
+    both = merge.union_methods({"SUMO": base.drop("vehicle_accel"), "RVST": other.drop("vehicle_accel")})
+    ids = merge.sample_vehicles([str(k) for k in range(1, 40)], 12)
+    return r6(merge.motion_points(both, ids, 0.5, "km/h"))
+
+
+def _tracks(spark, d):
+    base, other = methods(spark, d)
+    return r6(merge.track_points(merge.union_methods({"SUMO": base, "RVST": other}), merge.sample_vehicles([str(k) for k in range(1, 40)], 12)))
+
+
+def _report(spark, d):
+    """The report of an ingest whose odometer and type columns have no value and whose unit is unknown to it."""
+    raw = fleet(spark, d).select(F.col("timestep_time").alias("Seconds"), F.col("vehicle_id").alias("VehID"), F.col("vehicle_speed").alias("vel"), F.lit(None).cast("double").alias("mileage"), F.lit(None).cast("string").alias("vclass"))
+    out, report = standardize.standardize(raw, "knots")
+    total = out.agg(F.sum("vehicle_odometer").alias("odometers"), F.count_if(F.col("vehicle_type") == "unknown").alias("unknown_types"))
+    told = report.withColumns({"derived_cols": F.array_join("derived_cols", ","), "n_warnings": F.size("warnings"), "speed_from": F.col("used_colmap")["vehicle_speed"], "odometer_from": F.col("used_colmap")["vehicle_odometer"]})
+    return r6(told.drop("warnings", "used_colmap").crossJoin(total))
+
+
+def _written(spark, d):
+    """Traces through the sources: written as a CSV with a byte-order mark, as Parquet, and read back."""
+    folder = scratch(spark)
+    network.write_csv(fcd(spark, d).select("vehicle_id", "timestep_time", "vehicle_speed"), f"{folder}/marked", mark=True)
+    fcd(spark, d).select("vehicle_id", "timestep_time", "vehicle_lane").write.option("header", True).option("sep", ";").csv(f"{folder}/semicolon")
+    network.semicolon_to_comma(spark, f"{folder}/semicolon", f"{folder}/comma")
+    network.csv_to_parquet(spark, f"{folder}/marked", f"{folder}/parquet")
+    back = spark.read.parquet(network.write_table(spark.read.parquet(f"{folder}/parquet"), f"{folder}/table", "parquet"))
+    lanes = network.csv(spark, f"{folder}/comma")
+    return r6(back.join(lanes, ["vehicle_id", "timestep_time"]).select("vehicle_id", number("timestep_time").alias("timestep_time"), number("vehicle_speed").alias("vehicle_speed"), "vehicle_lane"))
+
+
+NET = """<net><edge id="a"><lane id="a_0" length="10.5"/><lane id=":j_0" length="x"/></edge><edge id="b"><lane id="b_0" length="20"/></edge><edge id="c"><lane id="c_0"/></edge>
+<connection from="a" to="b" fromLane="0" toLane="0" via=":j_0"/><connection from="b" to="c" fromLane="0" toLane="0"/><connection from="" to="c" fromLane="0" toLane="0"/></net>"""
+ROUTES = """<routes><flow id="f1" from="a" to="c" vehsPerHour="100"/><flow id="f2" from="a" to="c" vehsPerHour="x"/><flow id="f3" from="a" to="c" vehsPerHour="250"/><flow id="f4" from="b" to="c"/></routes>"""
+
+
+def _network(spark, d):
+    """A small network's files, written by a plain text sink and read by the XML scans: links, lanes and the best flows."""
+    folder = scratch(spark)
+    for name, text in (("net.xml", NET), ("rou.xml", ROUTES)):
+        spark.range(1).select(F.lit(text).alias("value")).coalesce(1).write.mode("overwrite").text(f"{folder}/{name}")
+    rows = network.connections_xml(spark, f"{folder}/net.xml").select(F.lit("link").alias("kind"), F.col("lane_id").alias("a"), F.col("next_lane_id").alias("b"), F.lit(None).cast("double").alias("x"))
+    rows = rows.unionByName(network.lanes_xml(spark, f"{folder}/net.xml").select(F.lit("lane").alias("kind"), F.col("lane_id").alias("a"), F.lit(None).cast("string").alias("b"), F.col("length").alias("x")))
+    rows = rows.unionByName(network.lanes_xml(spark, f"{folder}/net.xml", False).select(F.lit("outer").alias("kind"), F.col("lane_id").alias("a"), F.lit(None).cast("string").alias("b"), F.col("length").alias("x")))
+    best = topology.best_flows(network.flows_xml(spark, f"{folder}/rou.xml"))
+    rows = rows.unionByName(best.select(F.lit("flow").alias("kind"), F.concat_ws(">", "from_edge", "to_edge").alias("a"), F.col("flow_id").alias("b"), F.lit(None).cast("double").alias("x")))
+    return rows.unionByName(network.flows_xml(spark, f"{folder}/none.xml").select(F.lit("none").alias("kind"), F.col("flow_id").alias("a"), F.col("flow_id").alias("b"), F.col("vehs_per_hour").alias("x")))
+
+
+def blanked(df: DataFrame) -> DataFrame:
+    """A first stage for the merge: some rows have jerk alone, some nothing, and an old opt_source."""
+    gone = lambda c, n: F.when(F.col("event_id") % 11 > n, F.col(c)).alias(c)
+    return df.select("trip_id", "vehicle_id", "timestep_time", "event_id", F.lit("old").alias("opt_source"), gone("vehicle_jerk", 0), *[gone(c, 1) for c in ("vehicle_accel", "vehicle_speed", "vehicle_odometer")])
+
+
 def changed(df: DataFrame) -> DataFrame:
-    """A second stage for the merge: every third event, some of its columns missing."""
+    """A second stage for the merge: every third event, some of its columns missing, every 21st twice."""
     every = df.where("event_id % 3 = 0")
+    every = every.unionByName(every.where("event_id % 21 = 0").withColumn("vehicle_accel", F.col("vehicle_accel") - 7))
     return every.select(
         "trip_id", "vehicle_id", "timestep_time", F.when(F.col("event_id") % 2 == 0, F.col("vehicle_accel") + 1).alias("vehicle_accel"),
         F.when(F.col("event_id") % 5 != 0, F.col("vehicle_speed") + 2).alias("vehicle_speed"), F.when(F.col("event_id") % 7 != 0, F.col("vehicle_odometer") + 3).alias("vehicle_odometer"),
@@ -103,12 +191,22 @@ def _neighbors(side):
 def _merge(policy):
     def run(spark, d):
         one = profile(spark, d)
-        out = merge.overwrite_merge(one, changed(one), ["trip_id", "vehicle_id", "timestep_time"], policy)
-        return r6(out.select("trip_id", "vehicle_id", "timestep_time", "vehicle_accel", "vehicle_speed", "vehicle_odometer", "opt_source"))
+        out = merge.overwrite_merge(blanked(one), changed(one), policy=policy)
+        return r6(out.select("trip_id", "vehicle_id", "timestep_time", "vehicle_jerk", "vehicle_accel", "vehicle_speed", "vehicle_odometer", "opt_source"))
 
     return run
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder that driver and executors share; a temporary one only where the master is local and nothing is set."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="waymark-")
+    return f"{root.rstrip('/')}/sources-{uuid.uuid4().hex}"
+
+
 def _paths(spark, d):
     return topology.simple_paths(links_of(spark, PLAIN_LINKS)).select("path_id", F.array_join("path", ">").alias("path"))
 
@@ -148,7 +246,7 @@ QUERIES = {
     "kinematics_backward": lambda s, d: r6(trips.kinematics_backward(fcd(s, d), 0.5).select("vehicle_id", "timestep_time", "vehicle_accel", "vehicle_jerk", "vehicle_odometer")),
     "idle_trip_filter": lambda s, d: trips.moving_trips(with_trips(s, d), ["trip_id"]).select("vehicle_id", "timestep_time", "trip_id"),
     "dt_stats": lambda s, d: r6(standardize.dt_stats(fleet(s, d))),
-    "unit_convert_p95": lambda s, d: r6(standardize.speed_p95(fleet(s, d).withColumn("vehicle_speed", to_mps(F.col("vehicle_speed") * 6, "km/h")))),
+    "unit_convert_p95": lambda s, d: r6(standardize.speed_p95(fleet(s, d).withColumn("vehicle_speed", to_mps(F.col("vehicle_speed") * 6, "kph")), "kph")),
     "gt_accel_from_speed": lambda s, d: r6(standardize.diff_accel(fleet(s, d)).select("vehicle_id", "timestep_time", "vehicle_accel")),
     "gt_speed_from_accel": lambda s, d: r6(standardize.integrate_speed(fleet(s, d), 1.5).select("vehicle_id", "timestep_time", "vehicle_speed")),
     "gt_odometer": lambda s, d: r6(standardize.odometer(fleet(s, d)).select("vehicle_id", "timestep_time", "vehicle_odometer")),
@@ -162,11 +260,11 @@ QUERIES = {
     "neighbors_behind": _neighbors("preceding"),
     "neighbors_full": lambda s, d: r6(neighbors.neighbors(snapshots(s, d), links_of(s), lengths_of(s)).select("vehicle_id", "timestep_time", "lane_length", "vehicle_edge", "following_vehicle_id", "preceding_vehicle_id", "following_headway_distance", "preceding_headway_distance")),
     "safe_distance": lambda s, d: r6(optimize.safe_distance(neighbors.neighbors(snapshots(s, d), links_of(s), lengths_of(s)))),
-    "jerk_envelope_points": lambda s, d: r6(env.jerk_points(profile(s, d), limits(s)).select("trip_id", "vehicle_id", "timestep_time", "jerk", "jerk_min", "jerk_max", "in_envelope", "idx", "n")),
-    "bad_cases_allrows": lambda s, d: env.bad_cases_all_rows(profile(s, d), limits(s)),
-    "bad_cases_points": lambda s, d: env.bad_cases_points(profile(s, d), limits(s)),
-    "bad_case_rows": lambda s, d: env.bad_rows(profile(s, d), env.bad_cases_points(profile(s, d), limits(s))).select("trip_id", "vehicle_id", "timestep_time"),
-    "case_summary": lambda s, d: r6(env.case_summary(profile(s, d), limits(s))),
+    "jerk_envelope_points": lambda s, d: r6(env.jerk_points(gappy(s, d), limits(s)).select("trip_id", "vehicle_id", "timestep_time", "jerk", "jerk_min", "jerk_max", "in_envelope", "idx", "n")),
+    "bad_cases_allrows": lambda s, d: env.bad_cases_all_rows(gappy(s, d), limits(s)),
+    "bad_cases_points": lambda s, d: env.bad_cases_points(gappy(s, d), limits(s)),
+    "bad_case_rows": lambda s, d: env.bad_rows(env.checked(gappy(s, d)), env.bad_cases_points(gappy(s, d), limits(s))).select("trip_id", "vehicle_id", "timestep_time"),
+    "case_summary": lambda s, d: r6(env.case_summary(gappy(s, d), limits(s))),
     "accel_envelope_lookup": lambda s, d: r6(env.accel_limits(fleet(s, d), accel_table(s)).select("vehicle_id", "timestep_time", "kmh", "accel_min", "accel_max")),
     "overwrite_merge_any": _merge("notna_any"),
     "overwrite_merge_all3": _merge("notna_all3"),
@@ -176,6 +274,14 @@ QUERIES = {
     "union_methods_dedupe": _union,
     "vehicle_type_fill": _types,
     "xy_interpolate": _xy,
+    "filter_points": _filtered,
+    "smooth_trips": _smoothed,
+    "merge_methods": _methods,
+    "motion_points": _motion,
+    "track_points": _tracks,
+    "gt_report": _report,
+    "sources_roundtrip": _written,
+    "network_scan": _network,
     "optimize_stage1": lambda s, d: r6(optimize.run_stage1(regular(s, d), 2.0)),
     "optimize_stage2": lambda s, d: r6(_stage2(s, d)),
 }
@@ -220,7 +326,7 @@ cb AS (SELECT t, x AS ego, pos - o AS p, max(row(vehicle_id, pos, v, lane)) AS w
 ja AS (SELECT s.*, c.p AS ap, struct_extract(c.w, 1) AS av, struct_extract(c.w, 2) AS apos, struct_extract(c.w, 3) AS aspeed, struct_extract(c.w, 4) AS alane FROM snap s ASOF LEFT JOIN ca c ON s.t = c.t AND s.lane = c.ego AND s.pos < c.p),
 jb AS (SELECT s.vehicle_id, s.t, c.p AS bp, struct_extract(c.w, 1) AS bv, struct_extract(c.w, 2) AS bpos, struct_extract(c.w, 3) AS bspeed, struct_extract(c.w, 4) AS blane FROM snap s ASOF LEFT JOIN cb c ON s.t = c.t AND s.lane = c.ego AND s.pos > c.p),
 near AS (SELECT ja.*, bp, bv, bpos, bspeed, blane, ap - pos AS ah, pos - bp AS bh FROM ja JOIN jb USING (vehicle_id, t))"""
-POINTS = PROFILE + """, j AS (SELECT CAST(trip_id AS VARCHAR) AS trip_id, vehicle_id, t, acc, lead(acc) OVER (PARTITION BY trip_id, vehicle_id ORDER BY t) - acc AS jerk FROM back),
+POINTS = PROFILE + """, j AS (SELECT CAST(trip_id AS VARCHAR) AS trip_id, vehicle_id, t, acc, lead(acc) OVER (PARTITION BY trip_id, vehicle_id ORDER BY t) - acc AS jerk FROM back WHERE event_id % 13 <> 0),
 lim AS (SELECT k, -6 - abs(k) * 0.05 AS lo, 5 + abs(k) * 0.04 AS hi FROM (SELECT CAST(range - 41 AS INTEGER) AS k FROM range(83))),
 all_j AS (SELECT j.*, lo, hi, coalesce(lo IS NOT NULL AND jerk >= lo AND jerk <= hi, false) AS ok, row_number() OVER w - 1 AS idx, count(*) OVER (PARTITION BY trip_id, vehicle_id) AS n
   FROM j LEFT JOIN lim ON CAST(round_even(acc * 10, 0) AS INTEGER) = k WINDOW w AS (PARTITION BY trip_id, vehicle_id ORDER BY t)),
@@ -236,10 +342,24 @@ FOUR = "trip_id, vehicle_id, t AS timestep_time"
 
 
 def merged_sql(mask: str) -> str:
-    return f"""WITH {PROFILE}, two AS (SELECT trip_id, vehicle_id, t, CASE WHEN event_id % 2 = 0 THEN acc + 1 END AS a2, CASE WHEN event_id % 5 <> 0 THEN v + 2 END AS v2, CASE WHEN event_id % 7 <> 0 THEN odo + 3 END AS o2 FROM back WHERE event_id % 3 = 0),
-  j AS (SELECT b.*, a2, v2, o2, coalesce({mask}, false) AS m FROM back b LEFT JOIN two USING (trip_id, vehicle_id, t))
-  SELECT CAST(trip_id AS VARCHAR) AS trip_id, vehicle_id, t AS timestep_time, round(CASE WHEN m THEN a2 ELSE acc END, 6) AS vehicle_accel, round(CASE WHEN m THEN v2 ELSE v END, 6) AS vehicle_speed,
-  round(CASE WHEN m THEN o2 ELSE odo END, 6) AS vehicle_odometer, CASE WHEN m THEN 'stage2' ELSE 'stage1' END AS opt_source FROM j"""
+    return f"""WITH {PROFILE}, one AS (SELECT trip_id, vehicle_id, t, event_id, CASE WHEN event_id % 11 > 0 THEN jerk END AS jerk, CASE WHEN event_id % 11 > 1 THEN acc END AS acc, CASE WHEN event_id % 11 > 1 THEN v END AS v, CASE WHEN event_id % 11 > 1 THEN odo END AS odo FROM back),
+  twice AS (SELECT trip_id, vehicle_id, t, event_id, acc, v, odo FROM back WHERE event_id % 3 = 0 UNION ALL SELECT trip_id, vehicle_id, t, event_id, acc - 7, v, odo FROM back WHERE event_id % 21 = 0),
+  two AS (SELECT trip_id, vehicle_id, t, CASE WHEN event_id % 2 = 0 THEN acc + 1 END AS a2, CASE WHEN event_id % 5 <> 0 THEN v + 2 END AS v2, CASE WHEN event_id % 7 <> 0 THEN odo + 3 END AS o2 FROM twice),
+  j AS (SELECT b.*, a2, v2, o2, coalesce({mask}, false) AS m FROM one b LEFT JOIN two USING (trip_id, vehicle_id, t))
+  SELECT CAST(trip_id AS VARCHAR) AS trip_id, vehicle_id, t AS timestep_time, round(jerk, 6) AS vehicle_jerk, round(CASE WHEN m THEN a2 ELSE acc END, 6) AS vehicle_accel, round(CASE WHEN m THEN v2 ELSE v END, 6) AS vehicle_speed,
+  round(CASE WHEN m THEN o2 ELSE odo END, 6) AS vehicle_odometer, CASE WHEN m THEN 'stage2' WHEN coalesce(acc, v, odo, jerk) IS NOT NULL THEN 'stage1' ELSE 'none' END AS opt_source FROM j"""
+
+
+CHOSEN = ", ".join(f"'{x}'" for x in merge.sample_vehicles([str(k) for k in range(1, 40)], 12))
+
+
+def smooth_trips_sql() -> str:
+    """The smoothed speeds, then odometer and jerk by vehicle."""
+    inner = smooth_sql().replace("SELECT " + FOUR + ",", "SELECT trip_id, vehicle_id, t, odo, i, n,").replace("round(fin, 6) AS vehicle_speed", "fin").replace("round(CASE", "CASE").replace("/ step END, 6) AS vehicle_accel", "/ step END AS acc")
+    head, _, tail = inner.rpartition("SELECT trip_id, vehicle_id, t, odo, i, n,")
+    return f"""{head.rstrip()}, s7 AS (SELECT trip_id, vehicle_id, t, odo, i, n, {tail})
+  SELECT {FOUR}, round(fin, 6) AS vehicle_speed, round(acc, 6) AS vehicle_accel, round(coalesce((acc - lag(acc) OVER w) / (t - lag(t) OVER w), 0), 6) AS vehicle_jerk,
+  round(first_value(odo) OVER w + coalesce(sum(fin) OVER (PARTITION BY vehicle_id ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 6) AS vehicle_odometer FROM s7 WINDOW w AS (PARTITION BY vehicle_id ORDER BY t)"""
 
 
 def smooth_sql() -> str:
@@ -269,8 +389,8 @@ ORACLE_SQL = {
     "kinematics_forward": f"WITH {FCD}{KIN.format('fcd')} SELECT vehicle_id, t AS timestep_time, round(acc, 6) AS vehicle_acceleration, round(jerk, 6) AS vehicle_jerk, round(dist, 6) AS distance_m, round(cum, 6) AS cumulative_distance, round(round_even((first_value(pos) OVER (PARTITION BY vehicle_id ORDER BY t) + cum) * 10000, 0) / 10000, 6) AS mileage_pos FROM kin",
     "kinematics_backward": f"WITH {FCD}{BACK.format('fcd', '0.5')} SELECT vehicle_id, t AS timestep_time, round(acc, 6) AS vehicle_accel, round(jerk, 6) AS vehicle_jerk, round(odo, 6) AS vehicle_odometer FROM back",
     "idle_trip_filter": f"WITH {SEG} SELECT vehicle_id, t AS timestep_time, trip_id FROM trips WHERE trip_id IN (SELECT trip_id FROM trips WHERE v <> 0)",
-    "dt_stats": f"WITH {FLEET} SELECT min(dt) AS dt_min, median(dt) AS dt_median, max(dt) AS dt_max, count(*) FILTER (dt <= 0) AS n_nonpos FROM steps WHERE dt IS NOT NULL",
-    "unit_convert_p95": f"WITH {FLEET} SELECT round(p, 6) AS p95, p > 60 AS looks_unconverted, p < 10 AS looks_converted_twice FROM (SELECT quantile_cont(v * 6 * (1 / 3.6), 0.95) AS p FROM fleet)",
+    "dt_stats": f"WITH {FLEET} SELECT min(dt) FILTER (dt > 0) AS dt_min, median(dt) FILTER (dt > 0) AS dt_median, max(dt) FILTER (dt > 0) AS dt_max, count(*) FILTER (dt <= 0) AS n_nonpos FROM steps WHERE dt IS NOT NULL",
+    "unit_convert_p95": f"WITH {FLEET} SELECT round(p, 6) AS p95, false AS looks_unconverted, p < 10 AS looks_converted_twice FROM (SELECT quantile_cont(v * 6 * (1 / 3.6), 0.95) AS p FROM fleet)",
     "gt_accel_from_speed": f"WITH {FLEET} SELECT vehicle_id, t AS timestep_time, round(CASE WHEN dt IS NULL THEN 0 WHEN dt > 0 THEN (v - v_before) / dt END, 6) AS vehicle_accel FROM steps",
     "gt_speed_from_accel": f"""WITH RECURSIVE {FLEET}, o AS (SELECT *, row_number() OVER (PARTITION BY vehicle_id ORDER BY t) AS i FROM steps),
       r AS (SELECT vehicle_id, t, i, CAST(1.5 AS DOUBLE) AS s FROM o WHERE i = 1 UNION ALL SELECT o.vehicle_id, o.t, o.i, CASE WHEN o.dt > 0 AND o.a IS NOT NULL THEN greatest(0, r.s + o.a * o.dt) ELSE r.s END FROM r JOIN o ON o.vehicle_id = r.vehicle_id AND o.i = r.i + 1)
@@ -287,13 +407,13 @@ ORACLE_SQL = {
       b AS (SELECT *, CASE WHEN lag(edge) OVER (PARTITION BY path_id ORDER BY k) = edge THEN 0 ELSE 1 END AS st FROM e),
       c AS (SELECT *, sum(st) OVER (PARTITION BY path_id ORDER BY k) AS block FROM b),
       d AS (SELECT path_id, block, min(edge) AS edge, coalesce(sum(len), 0) AS len FROM c LEFT JOIN lens USING (lane) GROUP BY ALL),
-      sig AS (SELECT path_id, list(edge ORDER BY block) AS seq FROM d GROUP BY ALL), kept AS (SELECT min(path_id) AS path_id, seq FROM sig GROUP BY seq),
-      o AS (SELECT d.path_id, edge, len, row_number() OVER w AS q, sum(len) OVER w AS cum, list_filter(seq, lambda z: z NOT LIKE ':%') AS outer_seq FROM d JOIN kept USING (path_id) WINDOW w AS (PARTITION BY d.path_id ORDER BY block)),
+      sig AS (SELECT path_id, list(edge ORDER BY block) AS seq FROM d GROUP BY ALL), kept AS (SELECT min(path_id) AS path_id, row_number() OVER (ORDER BY min(path_id)) - 1 AS new_id, seq FROM sig GROUP BY seq),
+      o AS (SELECT kept.new_id AS path_id, edge, len, row_number() OVER w - 1 AS q, sum(len) OVER w AS cum, list_filter(seq, lambda z: z NOT LIKE ':%') AS outer_seq FROM d JOIN kept USING (path_id) WINDOW w AS (PARTITION BY d.path_id ORDER BY block)),
       flows AS (SELECT * FROM (VALUES ('a', 'f', 'f2'), ('g', 'f', 'f3')) AS f(x, y, flow_id)),
       t AS (SELECT path_id, max(cum) AS path_len, count(*) AS n, arg_min(edge, q) AS s, arg_max(edge, q) AS z FROM o GROUP BY ALL),
-      lane_edge AS (SELECT lane, CASE WHEN lane LIKE ':%' THEN lane ELSE regexp_replace(lane, '_[^_]*$', '') END AS edge FROM lens)
+      el AS (SELECT DISTINCT CASE WHEN a LIKE ':%' THEN a ELSE regexp_replace(a, '_[^_]*$', '') END AS f, CASE WHEN b LIKE ':%' THEN b ELSE regexp_replace(b, '_[^_]*$', '') END AS g FROM links)
       SELECT o.path_id, q AS "EdgeLane_seq", edge AS "EdgeLane_id", round(len, 6) AS "EdgeLane_length", round(cum, 6) AS cum_length, round(coalesce(lag(cum) OVER (PARTITION BY o.path_id ORDER BY q), 0), 6) AS cum_length_prev, flow_id, round(path_len, 6) AS path_len, n AS n_edge_lanes,
-      NOT EXISTS (SELECT 1 FROM links JOIN lane_edge ON b = lane WHERE lane_edge.edge = s) AS is_strict_start_edge, NOT EXISTS (SELECT 1 FROM links JOIN lane_edge ON a = lane WHERE lane_edge.edge = z) AS is_strict_end_edge
+      s NOT IN (SELECT g FROM el WHERE f <> g) AS is_strict_start_edge, z NOT IN (SELECT f FROM el WHERE f <> g) AS is_strict_end_edge
       FROM o JOIN t USING (path_id) LEFT JOIN flows ON outer_seq[1] = x AND outer_seq[-1] = y""",
     "neighbors_ahead": f"WITH {NEAR} SELECT vehicle_id, t AS timestep_time, av AS following_vehicle_id, round(apos, 6) AS following_flow_pos, round(aspeed, 6) AS following_vehicle_speed, alane AS following_vehicle_lane, round(ah, 6) AS following_headway_distance FROM near",
     "neighbors_behind": f"WITH {NEAR} SELECT vehicle_id, t AS timestep_time, bv AS preceding_vehicle_id, round(bpos, 6) AS preceding_flow_pos, round(bspeed, 6) AS preceding_vehicle_speed, blane AS preceding_vehicle_lane, round(bh, 6) AS preceding_headway_distance FROM near",
@@ -310,6 +430,23 @@ ORACLE_SQL = {
     "sg_smooth": smooth_sql(),
     "sg_odometer": f"WITH {PROFILE} SELECT vehicle_id, t AS timestep_time, round(first_value(odo) OVER (PARTITION BY vehicle_id ORDER BY t) + coalesce(sum(v) OVER (PARTITION BY vehicle_id ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 6) AS vehicle_odometer FROM back",
     "sg_jerk": f"WITH {PROFILE} SELECT vehicle_id, t AS timestep_time, round(coalesce(acc - lag(acc) OVER (PARTITION BY vehicle_id ORDER BY t), 0), 6) AS vehicle_jerk FROM back",
+    "filter_points": "WITH " + POINTS.replace("- acc AS jerk FROM", ") / 0.5 AS jerk, lead(acc) OVER (PARTITION BY trip_id, vehicle_id ORDER BY t) AS nxt FROM").replace("lead(acc) OVER (PARTITION BY trip_id, vehicle_id ORDER BY t) )", "(lead(acc) OVER (PARTITION BY trip_id, vehicle_id ORDER BY t) - acc)") + f""" SELECT {FOUR}, round(nxt, 6) AS accel_next, round(jerk, 6) AS jerk, round(round_even(acc * 10, 0) / 10, 6) AS accel_round, lo IS NOT NULL AS has_thr, ok AS in_env, idx, n, s.* FROM pts,
+      (SELECT count(*) AS total_cases, count(*) FILTER (NOT pass_in_env_mid) AS bad_cases, count(*) FILTER (pass_in_env_mid) AS ok_cases, CAST(sum(n_jerk_points) AS BIGINT) AS jerk_points, CAST(sum(greatest(n_jerk_points - 2, 0)) AS BIGINT) AS mid_points FROM summary) s""",
+    "smooth_trips": smooth_trips_sql(),
+    "merge_methods": f"""WITH {SEG}{BACK.format('trips', '1.0')}, typed AS (SELECT *, CASE WHEN event_id % 4 = 0 THEN 'T' || CAST(event_id % 3 AS VARCHAR) END AS typ FROM back), f AS (SELECT vehicle_id, arg_min(typ, t) AS ft FROM typed WHERE typ IS NOT NULL GROUP BY ALL),
+      o0 AS (SELECT vehicle_id, t, event_id, trip_id, v + 0.5 AS v FROM trips){BACK.format('o0', '1.0').replace('b1 AS', 'c1 AS').replace('back AS', 'other AS').replace('FROM b1', 'FROM c1')}
+      SELECT 'SUMO' AS data_type, vehicle_id, t AS timestep_time, round(v, 6) AS vehicle_speed, round(acc, 6) AS vehicle_accel, round(jerk, 6) AS vehicle_jerk, round(odo, 6) AS vehicle_odometer, typ AS vehicle_type, CAST(trip_id AS VARCHAR) AS trip_id FROM typed
+      UNION ALL SELECT 'RVST', vehicle_id, t, round(v, 6), round(acc, 6), round(jerk, 6), round(odo, 6), ft, CAST(trip_id AS VARCHAR) FROM other LEFT JOIN f USING (vehicle_id)""",
+    "motion_points": f"""WITH {METHODS}, m AS (SELECT *, coalesce(v - lag(v) OVER w, 0) / 0.5 AS a FROM both_m WHERE vehicle_id IN ({CHOSEN}) WINDOW w AS (PARTITION BY data_type, vehicle_id ORDER BY t))
+      SELECT vehicle_id, data_type, t AS timestep_time, round(v * 3.6, 6) AS vehicle_speed_plot, round(a, 6) AS vehicle_accel, round(coalesce(a - lag(a) OVER (PARTITION BY data_type, vehicle_id ORDER BY t), 0) / 0.5, 6) AS vehicle_jerk FROM m""",
+    "track_points": f"WITH {METHODS} SELECT vehicle_id, data_type, t AS timestep_time, round(x, 6) AS vehicle_x, round(y, 6) AS vehicle_y FROM both_m WHERE vehicle_id IN ({CHOSEN})",
+    "gt_report": f"""WITH {FLEET}, o AS (SELECT sum(CASE WHEN dt > 0 THEN v * dt ELSE 0 END) OVER (PARTITION BY vehicle_id ORDER BY t) AS odo FROM steps)
+      SELECT min(dt) FILTER (dt > 0) AS dt_min, median(dt) FILTER (dt > 0) AS dt_median, max(dt) FILTER (dt > 0) AS dt_max, count(*) FILTER (dt <= 0) AS n_nonpos, count(*) AS rows_out, count(DISTINCT vehicle_id) AS n_vehicles, count(*) AS rows_in,
+      'knots' AS speed_unit_in, 'm/s' AS speed_unit_out, false AS speed_converted, 'speed' AS prefer, 0.0 AS initial_speed, 'vehicle_accel,vehicle_odometer,vehicle_jerk' AS derived_cols, 3 AS n_warnings, 'vel' AS speed_from, 'mileage' AS odometer_from,
+      (SELECT round(sum(odo), 6) FROM o) AS odometers, count(*) AS unknown_types FROM steps""",
+    "sources_roundtrip": f"WITH {FCD} SELECT vehicle_id, t AS timestep_time, round(v, 6) AS vehicle_speed, lane AS vehicle_lane FROM fcd",
+    "network_scan": """SELECT * FROM (VALUES ('link', 'a_0', ':j_0', NULL), ('link', ':j_0', 'b_0', NULL), ('link', 'b_0', 'c_0', NULL), ('lane', 'a_0', NULL, 10.5::DOUBLE), ('lane', ':j_0', NULL, NULL), ('lane', 'b_0', NULL, 20.0),
+      ('outer', 'a_0', NULL, 10.5), ('outer', 'b_0', NULL, 20.0), ('flow', 'a>c', 'f3', NULL), ('flow', 'b>c', 'f4', NULL)) AS t(kind, a, b, x)""",
     "union_methods_dedupe": f"WITH {METHODS} SELECT data_type, vehicle_id, t AS timestep_time, round(v, 6) AS vehicle_speed, round(odo, 6) AS vehicle_odometer FROM both_m",
     "vehicle_type_fill": f"WITH {METHODS}, f AS (SELECT vehicle_id, arg_min(typ, t) AS ft FROM sumo WHERE typ IS NOT NULL GROUP BY ALL) SELECT data_type, vehicle_id, t AS timestep_time, coalesce(typ, ft) AS vehicle_type FROM both_m LEFT JOIN f USING (vehicle_id)",
     "xy_interpolate": f"""WITH {METHODS}, kn AS (SELECT vehicle_id, odo AS o, min(row(x, y)) AS p FROM sumo WHERE x IS NOT NULL GROUP BY ALL), k2 AS (SELECT vehicle_id, o, struct_extract(p, 1) AS x, struct_extract(p, 2) AS y FROM kn),
