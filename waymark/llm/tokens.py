@@ -3,11 +3,14 @@
 Both vocabularies split a text before merging and never merge across the split. Arrow cuts a batch of texts into pieces
 whose ids don't depend on their surroundings and numbers the distinct ones; a piece's ids come from the tokenizers library
 once, many new pieces in one call, and are then remembered. Texts with white space that Python, Arrow and the library may
-class differently go to the library whole.
+class differently go to the library whole, and so do texts that spell out one of the vocabulary's special marks: the library
+gives such a mark its own id, as it does by default.
 """
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -24,10 +27,12 @@ WHOLE = {"drop": "[\x1c-\x1f]", "lead": "[\x1c-\x1f\t\v\f\r\u0085   -  
 class Pieces:
     """piece -> its ids as little-endian unsigned 32-bit integers, in two generations of bounded size."""
 
-    def __init__(self, path: str, cut: str, special_as_text: bool = True, limit: int = 350_000):
+    def __init__(self, path: str, cut: str, special_as_text: bool = False, limit: int = 350_000):
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = special_as_text
         self.kind, self.limit = cut, limit
+        marks = sorted(t.content for t in self.library.get_added_tokens_decoder().values() if t.content)
+        self.whole = "|".join([WHOLE[cut], *(f"(?i:{re.escape(m)})" for m in marks)])
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
@@ -80,7 +85,7 @@ class Pieces:
 
     def group(self, texts: list[str]) -> list[bytes]:
         arrow = pa.array(texts, pa.string())
-        whole = pc.match_substring_regex(arrow, WHOLE[self.kind]).to_numpy(zero_copy_only=False)
+        whole = pc.match_substring_regex(arrow, self.whole).to_numpy(zero_copy_only=False)
         out: list[bytes] = [b""] * len(texts)
         for k in np.flatnonzero(whole).tolist():
             out[k] = self.encode(texts[k])
@@ -117,7 +122,7 @@ class Pieces:
 _KEPT: dict[tuple, Pieces] = {}
 
 
-def pieces(path: str, cut: str, special_as_text: bool = True, limit: int = 350_000) -> Pieces:
+def pieces(path: str, cut: str, special_as_text: bool = False, limit: int = 350_000) -> Pieces:
     """One per Python worker."""
     key = (path, cut, special_as_text, limit)
     if key not in _KEPT:
