@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waymark.llm.common import table, texts
+from waymark.llm.common import shared_folder, table, texts
 
 UNIT = 64  # bytes of a sample: 8 ms at 8,000 8-bit samples a second
 RATE = 8000
@@ -36,6 +36,12 @@ def full(kind: bytes, *parts: bytes, flags: int = 0) -> bytes:
     return box(kind, struct.pack(">I", flags), *parts)
 
 
+def clock(kind: bytes, between: bytes, duration: int, *rest: bytes, flags: int = 0) -> bytes:
+    """A header with times: of version 1, with 64 bits, where the duration needs them."""
+    wide = duration >> 32 > 0
+    return box(kind, struct.pack(">I", (1 << 24 if wide else 0) | flags), bytes(16 if wide else 8), between, struct.pack(">Q" if wide else ">I", duration), *rest)
+
+
 def encode(payload: bytes, unit: int = UNIT, rate: int = RATE, key_every: int = KEY_EVERY, chunk: int = 64) -> bytes:
     """A container with one track of 8-bit PCM (ipcm) whose media data is the payload; len(payload) is a multiple of unit."""
     n = len(payload) // unit
@@ -55,9 +61,9 @@ def encode(payload: bytes, unit: int = UNIT, rate: int = RATE, key_every: int =
             full(b"stsz", struct.pack(">II", unit, n)), full(b"co64" if wide else b"stco", struct.pack(">I", chunks), offsets.astype(">u8" if wide else ">u4").tobytes()),
         )
         minf = box(b"minf", full(b"smhd", bytes(4)), box(b"dinf", full(b"dref", struct.pack(">I", 1), full(b"url ", flags=1))), tables)
-        mdia = box(b"mdia", full(b"mdhd", struct.pack(">IIIIHH", 0, 0, rate, n * unit & 0xFFFFFFFF, 0x55C4, 0)), full(b"hdlr", bytes(4), b"soun", bytes(12), b"\0"), minf)
-        tkhd = full(b"tkhd", struct.pack(">IIIII", 0, 0, 1, 0, n * unit & 0xFFFFFFFF), bytes(8), struct.pack(">HHHH", 0, 0, 0x100, 0), IDENTITY, bytes(8), flags=7)
-        mvhd = full(b"mvhd", struct.pack(">IIIIIHH", 0, 0, rate, n * unit & 0xFFFFFFFF, 0x10000, 0x100, 0), bytes(8), IDENTITY, bytes(24), struct.pack(">I", 2))
+        mdia = box(b"mdia", clock(b"mdhd", struct.pack(">I", rate), n * unit, struct.pack(">HH", 0x55C4, 0)), full(b"hdlr", bytes(4), b"soun", bytes(12), b"\0"), minf)
+        tkhd = clock(b"tkhd", struct.pack(">II", 1, 0), n * unit, bytes(8), struct.pack(">HHHH", 0, 0, 0x100, 0), IDENTITY, bytes(8), flags=7)
+        mvhd = clock(b"mvhd", struct.pack(">I", rate), n * unit, struct.pack(">IHH", 0x10000, 0x100, 0), bytes(8), IDENTITY, bytes(24), struct.pack(">I", 2))
         return box(b"moov", mvhd, box(b"trak", tkhd, mdia))
 
     head = 8 if len(payload) + 8 < 1 << 32 else 16
@@ -80,12 +86,18 @@ def boxes(data: memoryview, at: int, end: int) -> Iterator[tuple[bytes, int, int
         at += size
 
 
-def tree(data: memoryview, at: int, end: int, depth: int = 0) -> dict[bytes, list]:
-    """Boxes by kind; nested ones as trees, the others as (start, end)."""
-    found: dict[bytes, list] = {}
-    for kind, a, b in boxes(data, at, end):
-        found.setdefault(kind, []).append(tree(data, a, b, depth + 1) if kind in CONTAINERS and depth < 16 else (a, b))
-    return found
+def tree(data: memoryview, at: int, end: int) -> dict[bytes, list]:
+    """Boxes by kind, at any depth; nested ones as trees, the others as (start, end)."""
+    root: dict[bytes, list] = {}
+    todo = [(root, at, end)]
+    while todo:
+        found, at, end = todo.pop()
+        for kind, a, b in boxes(data, at, end):
+            inner: dict[bytes, list] = {}
+            found.setdefault(kind, []).append(inner if kind in CONTAINERS else (a, b))
+            if kind in CONTAINERS:
+                todo.append((inner, a, b))
+    return root
 
 
 def numbers(data: memoryview, at: int, count: int, kind: str) -> np.ndarray:
@@ -105,6 +117,8 @@ def track(data: memoryview, trak: dict[bytes, list]) -> dict:
     times = numbers(data, at + 8, 2 * struct.unpack_from(">I", data, at + 4)[0], ">u4").reshape(-1, 2)
     at, _ = stbl[b"stsz"][0]
     size, n = struct.unpack_from(">II", data, at + 4)
+    if size * n > len(data):
+        raise ValueError("more samples than bytes")
     sizes = np.full(n, size, np.int64) if size else numbers(data, at + 12, n, ">u4")
     wide = b"co64" in stbl
     at, _ = stbl[b"co64" if wide else b"stco"][0]
@@ -121,14 +135,24 @@ def track(data: memoryview, trak: dict[bytes, list]) -> dict:
         keys = numbers(data, at + 8, struct.unpack_from(">I", data, at + 4)[0], ">u4") - 1
     else:
         keys = np.arange(n)
-    return {"codec": codec, "scale": scale, "duration": duration, "ticks": int((times[:, 0] * times[:, 1]).sum()), "starts": starts, "ends": starts + sizes, "keys": keys}
+    return {"count": n, "codec": codec, "scale": scale, "duration": duration, "ticks": int((times[:, 0] * times[:, 1]).sum()), "starts": starts, "ends": starts + sizes, "keys": keys}
+
+
+def readable(data: memoryview, trak: dict[bytes, list]) -> dict | None:
+    """What track() gives; None where a box is missing or short, or the tables don't fit together or point outside the container."""
+    try:
+        t = track(data, trak)
+        fits = t["scale"] > 0 and len(t["ends"]) == t["count"] and (not t["count"] or t["starts"].min() >= 0 and t["ends"].max() <= len(data)) and (not len(t["keys"]) or 0 <= t["keys"].min() and t["keys"].max() < t["count"])
+        return t if fits else None
+    except (KeyError, IndexError, ValueError, TypeError, struct.error, OverflowError, MemoryError):
+        return None
 
 
 def describe(media: bytes) -> list[dict]:
-    """A dictionary for each track of a container; [] where there is none."""
+    """A dictionary for each readable track of a container; [] where there is none. A damaged track is left out, the others stay."""
     data = memoryview(media)
     found = tree(data, 0, len(data))
-    return [track(data, t) for moov in found.get(b"moov", []) for t in moov.get(b"trak", [])]
+    return [t for moov in found.get(b"moov", []) for x in moov.get(b"trak", []) if (t := readable(data, x)) is not None]
 
 
 def samples(media: bytes, t: dict) -> bytes:
@@ -175,7 +199,8 @@ def media_features(frame: DataFrame) -> DataFrame:
     """Replaces the column `media` by what its tracks tell: `tracks` has each of them with all key ranges, the digests are of the first.
 
     A container without a track, or a null one, has no tracks, payload_bytes 0, the sums of no bytes and a null feature. Equal
-    containers give equal values; rows are independent, so there is no exchange and repeated rows stay.
+    containers give equal values; rows are independent, so there is no exchange and repeated rows stay. A damaged track counts as
+    missing and fails nothing. No rows give no rows; other columns stay, but those named as the new ones give way to them.
     """
     names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "tracks"]
 
@@ -190,8 +215,17 @@ def media_features(frame: DataFrame) -> DataFrame:
             out.append((*digests, feature(tracks[0]) if tracks else None, [stored_track(t) for t in tracks]))
         return pd.DataFrame(out, columns=names)
 
-    return frame.select(*[c for c in frame.columns if c != "media"], read("media").alias("told")).select(*[c for c in frame.columns if c != "media"], "told.*")
+    rest = [F.col(f"`{c}`") for c in frame.columns if c not in ("media", *names)]
+    return frame.select(F.struct(*rest).alias("own"), read("media").alias("told")).select("own.*", "told.*")
+
+
+def store_media(docs: DataFrame, path: str) -> DataFrame:
+    """Writes the containers of docs as a Parquet column `media` below path and reads it back. A cell holds 2 GB at most, so the
+    longest text is a little shorter; null and empty texts give a container of one sample of zeros."""
+    frame = with_media(docs)
+    frame.write.mode("overwrite").option("compression", "zstd").parquet(path)
+    return docs.sparkSession.read.schema(frame.schema).parquet(path)
 
 
 def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media_features(with_media(table(spark, sf_dir, "documents"))).drop("tracks")
+    return media_features(store_media(table(spark, sf_dir, "documents"), shared_folder(spark, "media"))).drop("tracks")
