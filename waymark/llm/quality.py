@@ -22,7 +22,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waymark.llm.common import blank_words, distinct, remove, segment_of, shared_folder, stored, summed_segments, table, texts, trim, vector_rows, word_hashes
+from waymark.llm.common import blank_words, distinct, segment_of, shared_folder, stored, summed_segments, table, texts, trim, vector_rows, word_hashes
 
 BITS, SEGMENTS = 20, 16
 POOLS = ("target", "low", "toxic")
@@ -273,35 +273,39 @@ def kth_largest(frame: DataFrame, column: str, k: int) -> tuple[float, int]:
     return high, left
 
 
-def select(docs: DataFrame, labels: DataFrame, temperature: float = 0.2, seed: int = 7, max_labels: int = 500_000) -> DataFrame:
-    """The rows of docs with log_weight, p_target, draw and kept.
+ADDED = ["log_weight", "p_target", "draw", "kept"]
 
-    Kept are the k rows with the largest draws, k being the rounded product of their number and the labels' share of the target; of rows that tie at the threshold those
-    with the smallest doc_id and text are kept. Null and empty texts have no n-grams: their weight is 1 and they rank with
-    clean text. Without labels of a pool nothing tells it apart and all rows are kept. Repeated rows draw alike.
+
+def select(docs: DataFrame, labels: DataFrame, temperature: float = 1.0, seed: int = 7, max_labels: int = 500_000, carry: list[str] | None = None) -> DataFrame:
+    """The rows of docs with log_weight, p_target, draw and kept; `carry` names the columns of docs that stay (all).
+
+    Kept are the k rows with the largest draws, k being the rounded product of their number and the labels' share of the target;
+    of rows that tie at the threshold those with the smallest doc_id and text are kept. Null and empty texts have no n-grams: their
+    weight is 1 and they rank with clean text. Without labels of a pool nothing tells it apart and all rows are kept. Repeated
+    rows draw alike. Texts of any length are read whole. No rows give no rows. Columns of docs named as the new ones are kept
+    under `own_` and that name.
     """
     spark = docs.sparkSession
-    names = ["log_weight", "p_target", "draw", "kept"]
-    docs = docs.select(*[c for c in docs.columns if c not in names])
+    carry = docs.columns if carry is None else carry
     model = fit(docs, labels, max_labels)
-    columns = [c for c in docs.columns if c not in ("doc_id", "text")]
-    weighed = weigh(docs, model, temperature, seed)
-    folder = shared_folder(spark, "quality")
-    draws = stored(weighed.select("doc_id", F.xxhash64("text").alias("sum"), "log_weight", "p_target", "draw"), folder)
+    own = F.struct(*[F.col(f"`{c}`").alias(f"own_{c}" if c in ADDED else c) for c in carry])
+    inner = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), own.alias("_own"))
+    weighed = weigh(inner, model, temperature, seed)
+    # Written once, with what stays of each row: texts are turned into n-grams for their draw a single time.
+    draws = stored(weighed.select("doc_id", F.xxhash64("text").alias("sum"), "log_weight", "p_target", "draw", "_own"), shared_folder(spark, "quality"))
+
+    def answer(kept):
+        return draws.select("_own.*", *ADDED[:3], kept.alias("kept"))
+
     n = draws.count()
     k = round(n * float(model[1][0])) if model[0].any() else n
-    if k >= n:
-        return weighed.withColumn("kept", F.lit(True)).select("doc_id", "text", *columns, *names)
-    if k <= 0:
-        return weighed.withColumn("kept", F.lit(False)).select("doc_id", "text", *columns, *names)
+    if k >= n or k <= 0:
+        return answer(F.lit(k > 0))
     value, ties = kth_largest(draws, "draw", k)
     at_edge = draws.where(F.col("draw") == value).select("doc_id", "sum").orderBy("doc_id", "sum").limit(ties).agg(F.max(F.struct("doc_id", "sum"))).first()[0]
-    remove(spark, folder)
-    edge = F.col("draw") == value
-    first = F.coalesce(F.col("doc_id") < at_edge[0], F.lit(True)) | ((F.col("doc_id") == at_edge[0]) & (F.xxhash64("text") <= at_edge[1])) if at_edge[0] is not None else F.col("doc_id").isNull()
-    return weighed.withColumn("kept", (F.col("draw") > value) | (edge & first)).select("doc_id", "text", *columns, *names)
+    first = F.coalesce(F.col("doc_id") < at_edge[0], F.lit(True)) | ((F.col("doc_id") == at_edge[0]) & (F.col("sum") <= at_edge[1])) if at_edge[0] is not None else F.col("doc_id").isNull()
+    return answer((F.col("draw") > value) | ((F.col("draw") == value) & first))
 
 
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = select(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return judged.select("doc_id", "log_weight", "p_target", "draw", "kept")
+    return select(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), carry=["doc_id"])
