@@ -75,26 +75,30 @@ def element(data: bytes, at: int, end: int) -> tuple[int, int, int] | None:
     return (tag, body, body + size) if body + size <= end else None
 
 
-def is_der_key(data: bytes) -> bool:
-    """A sequence that fills data and starts with a version or an algorithm, of elements whose nested lengths add up."""
+def der_tags(data: bytes) -> list[int] | None:
+    """Tags of the elements of the sequence that fills data; None if a length anywhere below it, at any depth, doesn't add up."""
     top = element(data, 0, len(data))
     if not top or top[0] != 0x30 or top[2] != len(data):
-        return False
-    tags, at = [], top[1]
-    while at < top[2]:
-        inner = element(data, at, top[2])
-        if not inner:
-            return False
-        if inner[0] == 0x30:
-            deep = inner[1]
-            while deep < inner[2]:
-                e = element(data, deep, inner[2])
-                if not e:
-                    return False
-                deep = e[2]
-        tags.append(inner[0])
-        at = inner[2]
-    return len(tags) >= 2 and (tags[0] == 0x02 or tags[:2] == [0x30, 0x03])
+        return None
+    tags, todo = [], [(top[1], top[2], True)]
+    while todo:
+        at, end, outer = todo.pop()
+        while at < end:
+            inner = element(data, at, end)
+            if not inner:
+                return None
+            if outer:
+                tags.append(inner[0])
+            if inner[0] & 0x20:  # constructed: its body is elements too
+                todo.append((inner[1], inner[2], False))
+            at = inner[2]
+    return tags
+
+
+def is_der_key(data: bytes) -> bool:
+    """A sequence that fills data and starts with a version or an algorithm, of elements whose nested lengths add up."""
+    tags = der_tags(data)
+    return tags is not None and len(tags) >= 2 and (tags[0] == 0x02 or tags[:2] == [0x30, 0x03])
 
 
 def ssh_end(data: bytes) -> int | None:
@@ -186,14 +190,7 @@ def bare_keys(text: str, covered: list[tuple[int, int]]) -> list[tuple[int, int,
 
 def is_der(data: bytes) -> bool:
     """Whether data is a sequence of elements whose lengths add up."""
-    top = element(data, 0, len(data))
-    at = top[1] if top else 0
-    while top and at < top[2]:
-        inner = element(data, at, top[2])
-        if not inner:
-            return False
-        at = inner[2]
-    return bool(top) and top[0] == 0x30 and top[2] == len(data)
+    return der_tags(data) is not None
 
 
 def is_signed_token(text: str) -> bool:
@@ -240,7 +237,9 @@ SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 str
 def scan(docs: DataFrame) -> DataFrame:
     """Secrets of each row of docs (doc_id, text), places in code points.
 
-    Null and empty texts have none (spans '' and the sum of no bytes). Rows are independent: no exchange, repeated rows stay.
+    Null and empty texts have none (spans '' and the sum of no bytes); a text of any length is scanned whole. Rows are independent:
+    no exchange, repeated rows and null doc_ids stay, no rows give no rows, and other columns are ignored, whatever their names.
+    Spans that start at one place stand in the order of their kinds.
     """
 
     def scanned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -274,7 +273,7 @@ def masked(text: str | None) -> str | None:
 
 
 def mask(docs: DataFrame) -> DataFrame:
-    """docs with the secrets of column text masked; other columns stay as they are."""
+    """docs with the secrets of column text masked; other columns stay as they are, and so do null and empty texts and repeated rows."""
 
     @F.pandas_udf("string")
     def replaced(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
