@@ -4,8 +4,11 @@ A token is coded as a path of binary decisions to its class (a Huffman tree over
 one each, the others share the rest by hash) and, in a shared class, by its count there. Each decision has several bit
 predictors, tables of counts addressed by hashed contexts: none, the class before, the two classes before, the word before.
 Their log odds are summed with weights that a gate chooses by how much two of the contexts have seen; weights are learnt
-online, by gradient steps on coding cost. A last table refines the mixed odds by what was seen at such odds and depth.
-Counts come from all training texts but a tenth, weights and refinement from that tenth, so neither flatters the other.
+online, by gradient steps on coding cost. While a text is scored, a scale and an offset of its mixed odds are learnt from its own
+earlier decisions, and a last table refines the odds by what was seen at such odds and depth.
+Counts come from all training texts but a tenth, weights and refinement from that tenth, so neither flatters the other. That
+tenth is dealt by a hash of its rows into slices of a fixed size, each learnt from in a fixed order, and a text's own learning
+starts anew, so no score depends on how rows are partitioned.
 """
 
 from __future__ import annotations
@@ -34,6 +37,8 @@ END = xxhash.xxh3_64_intdigest(b" end") - (1 << 64 if xxhash.xxh3_64_intdigest(b
 SCALE = 1 << 20  # fixed point of what tasks report
 SLICE = 1 << 15
 ROWS = 500  # texts worked on at once
+LEARN_BYTES = 2 << 20  # text of a slice from which weights are learnt
+BLOCK, RATE = 512, 0.02  # decisions after which a text's scale and offset move, and how fast
 M1, M2, M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -156,10 +161,55 @@ def decisions(code: Code, cls: np.ndarray, hashes: np.ndarray, sizes: np.ndarray
         at = np.repeat(start, length) + depth
         node = code.nodes[at]
         mixed = (node.astype(np.uint64) + np.uint64(1)) * M3
-        slots = [((np.repeat(x[a : a + SLICE], length) ^ mixed) * M1 >> np.uint64(64 - SLOT_BITS)).astype(np.int32) for x in contexts]
+        slots = []
+        for x in contexts:
+            y = np.repeat(x[a : a + SLICE], length)
+            y ^= mixed
+            y *= M1
+            y >>= np.uint64(64 - SLOT_BITS)
+            slots.append(y.view(np.int64))
         yield a, bounds, node, code.bits[at], np.minimum(depth, DEPTHS - 1), slots
 
 
+class Own:
+    """What the texts of a batch learn of themselves while they are scored: a scale and an offset of the mixed odds of each."""
+
+    def __init__(self, decisions: np.ndarray):
+        """decisions: how many each text has."""
+        n = len(decisions)
+        self.long = decisions > BLOCK  # shorter texts are over before their first step
+        self.scale, self.offset = np.ones(n), np.zeros(n)
+        self.pull, self.push, self.held = np.zeros(n), np.zeros(n), np.zeros(n, np.int64)
+
+    def adapt(self, t: np.ndarray, bit: np.ndarray, who: np.ndarray) -> np.ndarray:
+        """The odds of decisions in coding order, who's text is whose, as the texts' own learning moves them: the same for all of a
+        block, which then takes one gradient step on its coding cost."""
+        chosen = np.flatnonzero(self.long[who])
+        if not len(chosen):
+            return t
+        out, n = t.copy(), len(self.long)
+        w = who[chosen]
+        start = np.flatnonzero(np.concatenate([[True], w[1:] != w[:-1]]))
+        place = np.arange(len(w)) - np.repeat(start, np.diff(np.append(start, len(w)))) + self.held[w]
+        order = np.argsort(place // BLOCK, kind="stable")
+        cuts = np.searchsorted((place // BLOCK)[order], np.arange(place.max() // BLOCK + 2))
+        for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            at = chosen[order[lo:hi]]
+            d, raw = who[at], t[at]
+            odds = raw * self.scale[d] + self.offset[d]
+            out[at] = odds
+            error = bit[at] - 1 / (1 + np.exp(-odds))
+            self.push += np.bincount(d, error, n)
+            self.pull += np.bincount(d, error * raw, n)
+            self.held += np.bincount(d, minlength=n)
+            full = np.flatnonzero(self.held == BLOCK)
+            if len(full):
+                self.offset[full] += RATE * self.push[full] / BLOCK**0.5
+                self.scale[full] += 0.1 * RATE * self.pull[full] / BLOCK**0.5
+                self.push[full], self.pull[full], self.held[full] = 0, 0, 0
+        return out
+
+
 class Model:
     def __init__(self, counts: list[np.ndarray]):
         """counts: of order 0 and of each table, twice the slots: zeros, ones."""
@@ -174,17 +224,17 @@ class Model:
 
     def inputs(self, node: np.ndarray, slots: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         x = np.empty((INPUTS, len(node)), np.float32)
-        x[0] = self.odds[0][node]
+        np.take(self.odds[0], node, out=x[0], mode="clip")
         for k, s in enumerate(slots):
-            x[k + 1] = self.odds[k + 1][s]
+            np.take(self.odds[k + 1], s, out=x[k + 1], mode="clip")
         x[-1] = 0.3
-        return x, self.level[2][slots[1]].astype(np.int64) * LEVELS + self.level[3][slots[2]]
+        return x, self.level[2].take(slots[1]).astype(np.int64) * LEVELS + self.level[3].take(slots[2])
 
     def mix(self, x: np.ndarray, gate: np.ndarray) -> np.ndarray:
-        w = self.weights
-        t = w[gate, 0] * x[0]
+        w = np.ascontiguousarray(self.weights.T)
+        t = w[0].take(gate) * x[0]
         for k in range(1, INPUTS):
-            t += w[gate, k] * x[k]
+            t += w[k].take(gate) * x[k]
         return t
 
     def learn(self, x: np.ndarray, gate: np.ndarray, bit: np.ndarray, rate: float = 0.02, step: int = 2048) -> np.ndarray:
@@ -204,14 +254,12 @@ class Model:
     def bins(t: np.ndarray, depth: np.ndarray) -> np.ndarray:
         return np.clip(np.rint(t * 2) + BINS // 2, 0, BINS - 1).astype(np.int64) * DEPTHS + depth
 
-    def cost(self, x: np.ndarray, gate: np.ndarray, bit: np.ndarray, depth: np.ndarray) -> np.ndarray:
-        """log10 of the probability of each bit."""
-        t = self.mix(x, gate)
+    def cost(self, t: np.ndarray, bit: np.ndarray, depth: np.ndarray) -> np.ndarray:
+        """log10 of the probability of each bit at mixed odds t."""
         p = 1 / (1 + np.exp(-t))
         if self.refine is not None:
-            p = 0.5 * p + 0.5 * self.refine[self.bins(t, depth)]
-        p = np.clip(np.where(bit == 1, p, 1 - p), 1e-6, 1)
-        return np.log10(p)
+            p = np.float32(0.5) * p + np.float32(0.5) * self.refine.take(self.bins(t, depth))
+        return np.log10(np.clip(np.where(bit == 1, p, 1 - p), np.float32(1e-6), np.float32(1)))
 
 
 def packed(tables: list[np.ndarray]) -> pd.DataFrame:
@@ -235,8 +283,10 @@ def score(docs: DataFrame) -> DataFrame:
     Texts with crc32(doc_id as text) mod 10 = 0 are held out of all learning (null doc_id: the sum of no bytes, held out). Null
     and empty texts are one end token; without a byte bits_per_byte is null. Repeated rows are each learnt from and scored.
     Counts of frequent words (2**18 at most), class and predictor tables have fixed sizes and are sent to the tasks; all other
-    words meet their counts in a join of one row for each text and rare word. The predictor tables are untagged and don't grow with
-    the corpus: contexts share slots, the more the larger it is. Words are told apart by 64-bit hashes.
+    words meet their counts in a join of one row for each text and rare word; which words are frequent is cut at a count, so words
+    that tie are treated alike. The predictor tables are untagged and don't grow with the corpus: contexts share slots, the more
+    the larger it is. Words are told apart by 64-bit hashes. Texts of any length are scored whole, no rows give no rows, and other
+    columns are ignored, whatever their names.
     """
     spark = docs.sparkSession
     folder = shared_folder(spark, "language-model")
@@ -301,8 +351,8 @@ def score(docs: DataFrame) -> DataFrame:
             ids, lengths = stream.batch(part)
             for _, _, node, bit, _, slots in decisions(code, stream.parts[1][ids], stream.parts[0][ids], lengths):
                 for places, at in zip(held, [node, *slots]):
-                    places.append((2 * at + bit).astype(np.int32))
-                if sum(map(len, held[0])) >= 1 << 21:
+                    places.append(2 * at + bit)
+                if sum(map(len, held[0])) >= 1 << 20:
                     add()
         add()
         yield packed(tables)
@@ -315,14 +365,15 @@ def score(docs: DataFrame) -> DataFrame:
     model = Model(tables)
     sent = spark.sparkContext.broadcast(model)
 
-    def learn_weights(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Fixed-point sums: weights times bits seen by gate, bits seen by gate, and bits and ones by refinement bin."""
+    def learn_weights(pdf: pd.DataFrame) -> pd.DataFrame:
+        """From a slice, fixed-point sums: weights times bits seen by gate, bits seen by gate, and bits and ones by refinement bin."""
         code, model = sent_code.value, Model.__new__(Model)
         model.__dict__ = sent.value.__dict__ | {"weights": sent.value.weights.copy()}
         stream, gates = Stream(code), np.zeros(LEVELS * LEVELS, np.int64)
         seen, ones = np.zeros(BINS * DEPTHS, np.int64), np.zeros(BINS * DEPTHS, np.int64)
-        for part in slices(batches, lambda f: f == 1):
-            ids, lengths = stream.batch(part)
+        held = texts(pdf.sort_values(["doc_id", "text"], na_position="first", kind="stable")["text"])
+        for k in range(0, len(held), ROWS):
+            ids, lengths = stream.batch(held[k : k + ROWS])
             for _, _, node, bit, depth, slots in decisions(code, stream.parts[1][ids], stream.parts[0][ids], lengths):
                 x, gate = model.inputs(node, slots)
                 at = Model.bins(model.learn(x, gate, bit), depth)
@@ -330,10 +381,13 @@ def score(docs: DataFrame) -> DataFrame:
                 seen += np.bincount(at, minlength=len(seen))
                 ones += np.bincount(at, bit, len(ones)).astype(np.int64)
         told = np.concatenate([np.rint(model.weights * SCALE).astype(np.int64).ravel() * np.repeat(gates, INPUTS), gates, seen, ones])
-        yield pd.DataFrame({"segment": [0], "blob": [zstandard.ZstdCompressor(1).compress(narrow(told))]})
+        return pd.DataFrame({"segment": [0], "blob": [zstandard.ZstdCompressor(1).compress(narrow(told))]})
 
+    tenth = chosen.where(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 10 == 1)
+    bytes_of = tenth.agg(F.coalesce(F.sum(F.octet_length("text") + 1), F.lit(0))).first()[0]
+    dealt = tenth.withColumn("slice", F.pmod(F.xxhash64("doc_id", "text"), F.lit(int(bytes_of // LEARN_BYTES) + 1)))
     size = LEVELS * LEVELS * (INPUTS + 1) + 2 * BINS * DEPTHS
-    found = summed_segments(chosen.mapInPandas(learn_weights, "segment int, blob binary"), ["segment"], size).collect()
+    found = summed_segments(dealt.groupBy("slice").applyInPandas(learn_weights, "segment int, blob binary"), ["segment"], size).collect()
     if found:
         told = segment_of(found[0].blob, size)
         cut = np.cumsum([LEVELS * LEVELS * INPUTS, LEVELS * LEVELS, BINS * DEPTHS])
@@ -341,7 +395,7 @@ def score(docs: DataFrame) -> DataFrame:
         used = gates > 0
         model.weights[used] = (w.reshape(-1, INPUTS)[used] / gates[used, None] / SCALE).astype(np.float32)
         centre = 1 / (1 + np.exp(-(np.repeat(np.arange(BINS), DEPTHS) - BINS // 2) / 2))
-        model.refine = (ones + 20 * centre) / (seen + 20)
+        model.refine = ((ones + 20 * centre) / (seen + 20)).astype(np.float32)
     sent_model = spark.sparkContext.broadcast(model)
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -354,11 +408,14 @@ def score(docs: DataFrame) -> DataFrame:
                 ids, lengths = stream.batch(held)
                 h, cls, base, inner, top = (p[ids] for p in stream.parts)
                 bits = np.empty(len(ids))
-                for a, bounds, node, bit, depth, slots in decisions(code, cls, h, lengths):
-                    x, gate = model.inputs(node, slots)
-                    bits[a : a + len(bounds)] = np.add.reduceat(model.cost(x, gate, bit, depth), bounds)
                 ends = np.cumsum(lengths)
                 starts = ends - lengths
+                paths = code.starts[cls + 1] - code.starts[cls]
+                own, text_of = Own(np.add.reduceat(paths, starts)), np.repeat(np.arange(len(held)), lengths)
+                for a, bounds, node, bit, depth, slots in decisions(code, cls, h, lengths):
+                    t = model.mix(*model.inputs(node, slots))
+                    t = own.adapt(t, bit, np.repeat(text_of[a : a + len(bounds)], paths[a : a + len(bounds)]))
+                    bits[a : a + len(bounds)] = np.add.reduceat(model.cost(t, bit, depth).astype(np.float64), bounds)
                 rare_h, rare_n = [], []
                 for a, b in zip(starts.tolist(), ends.tolist()):
                     part, many = np.unique(h[a:b][~top[a:b]], return_counts=True)
