@@ -6,6 +6,8 @@ with its transpose holds all overlaps; only entries that can reach the similarit
 * Columns are ordered, those a sketch finds common last. Two rows that link share a column among the first
   n - ceil(s n) + 1 of each in this order, so candidates come from these columns only, and pairs whose sizes rule them out
   aren't formed. Columns that the sketch takes for common are dealt over several partitions.
+* Where a pair's first shared column stands as column i of one row and column j of the other, they share min(m - i, n - j) columns
+  at most: rows that have but a common passage at the end of their order are discarded there.
 * A row's bitmap has a bit for each of its columns. Bits that the other row lacks bound the overlap from above; a pair whose
   bound stays below ceil(s / (1 + s) (m + n)) is discarded before any shingle moves.
 * What is left is multiplied in row blocks (a row and up to 8 MB of partners) by column blocks: overlaps are accumulated block
@@ -33,7 +35,7 @@ from waymark.llm.components import components
 WORDS, PERCENT, SEGMENTS = 5, 80, 64
 LEAST_BITS, MOST_BITS = 512, 1 << 17  # of a bitmap
 SPREAD = 2048  # rows of a common column in a partition, by the sketch
-ROWS = 1 << 20  # shingles of the partners in a row block
+ROWS, PARTNERS = 1 << 20, 128  # shingles of the partners in a row block, and partners
 COLUMNS = 256  # shingles of a column block
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -189,7 +191,7 @@ def links_of(docs: DataFrame, folder: str, words: int = WORDS, percent: int = PE
     def columns(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rank, seen = sketch.value, set()
         for pdf in batches:
-            keys, salts, nodes, sizes = [], [], [], []
+            keys, salts, nodes, sizes, places = [], [], [], [], []
             for text in texts(pdf["text"]):
                 s = shingles(text, words)
                 if not len(s) or (node := node_of(s)) in seen:
@@ -203,12 +205,13 @@ def links_of(docs: DataFrame, folder: str, words: int = WORDS, percent: int = PE
                 salts.append(np.where(over > 0, 1 + (node & 0x7FFFFFFF) % np.maximum(over, 1), 0))
                 nodes.append(np.full(p, node, np.int64))
                 sizes.append(np.full(p, len(s), np.int32))
+                places.append(np.arange(p, dtype=np.int32))
             if keys:
-                yield pd.DataFrame({"key": np.concatenate(keys).view(np.int64), "salt": np.concatenate(salts).astype(np.int32), "node": np.concatenate(nodes), "n": np.concatenate(sizes)})
+                yield pd.DataFrame({"key": np.concatenate(keys).view(np.int64), "salt": np.concatenate(salts).astype(np.int32), "node": np.concatenate(nodes), "n": np.concatenate(sizes), "at": np.concatenate(places)})
         trim()
 
     # A column that one row has alone makes no pair. One exchange serves both the copies of a row and the count.
-    entries = chosen.mapInPandas(columns, "key long, salt int, node long, n int").repartition("key", "salt").dropDuplicates(["key", "salt", "node"])
+    entries = chosen.mapInPandas(columns, "key long, salt int, node long, n int, at int").repartition("key", "salt").dropDuplicates(["key", "salt", "node"])
     entries = entries.withColumn("rows", F.count(F.lit(1)).over(Window.partitionBy("key", "salt"))).where("rows > 1 or salt > 0").drop("rows")
     entries = stored(entries, f"{folder}/entries")
     several = entries.select(F.col("node")).distinct()
@@ -227,7 +230,7 @@ def links_of(docs: DataFrame, folder: str, words: int = WORDS, percent: int = PE
         one, two = (bitmaps.select(F.col("node").alias(x), F.col("bits").alias(f"p{x}"), F.col("n").alias(f"n{x}")) for x in "ab")
         left = stored(pairs.join(one, "a").join(two, "b").where(possible("pa", "pb", "na", "nb")).select("a", "b", "na", "nb"), f"{folder}/{name}-left")
         count = left.count()
-        per = left.groupBy("a").agg(F.ceil(F.sum("nb") / ROWS).cast("int").alias("blocks"), F.count(F.lit(1)).alias("of"))
+        per = left.groupBy("a").agg(F.ceil(F.greatest(F.sum("nb") / ROWS, F.count(F.lit(1)) / PARTNERS)).cast("int").alias("blocks"), F.count(F.lit(1)).alias("of"))
         placed = spread_join(left, per, "a", "of", count).withColumn("block", F.pmod(F.hash("b"), F.col("blocks"))).drop("blocks")
         placed = stored(placed, f"{folder}/{name}-placed")
         remove(spark, f"{folder}/{name}-left")
@@ -273,23 +276,24 @@ def links_of(docs: DataFrame, folder: str, words: int = WORDS, percent: int = PE
         release(spark)
         return links
 
-    sizes_fit = "100 * least(n, m) >= {0} * greatest(n, m)".format(percent)
+    # Sizes, and places of the shared column as if it were the pair's first: the pair is formed where it is, or it doesn't link.
+    fits_there = "100 * least(n, m) >= {0} * greatest(n, m) and {1} * least(n - at, m - there) >= {0} * (n + m)".format(percent, 100 + percent)
 
     def back(rows_of: DataFrame, told_of: DataFrame) -> DataFrame:
         """rows_of with what is told of their columns (key, salts, ...): a common column's rows stay dealt as they are."""
         return rows_of.join(told_of.withColumn("salt", F.explode("salts")).drop("salts"), ["key", "salt"])
 
     # Each row of a column pairs with the column's pivots, its first rows by a few hashes.
-    picks = [F.max(F.struct(F.xxhash64("node", F.lit(j)).alias("h"), F.col("node").alias("pivot"), F.col("n").alias("m"))).alias(f"h{j}") for j in range(pivots)]
+    picks = [F.max(F.struct(F.xxhash64("node", F.lit(j)).alias("h"), F.col("node").alias("pivot"), F.col("n").alias("m"), F.col("at").alias("there"))).alias(f"h{j}") for j in range(pivots)]
     heads = entries.groupBy("key").agg(F.collect_set("salt").alias("salts"), *picks, F.count(F.lit(1)).alias("rows")).where("rows > 1")
-    heads = heads.select("key", "salts", F.array_distinct(F.array(*[F.struct(f"h{j}.pivot", f"h{j}.m") for j in range(pivots)])).alias("heads"))
-    star = back(entries, heads).select("node", "n", F.explode("heads").alias("h")).select("node", "n", "h.*").where("node <> pivot").where(sizes_fit)
+    heads = heads.select("key", "salts", F.array_distinct(F.array(*[F.struct(f"h{j}.pivot", f"h{j}.m", f"h{j}.there") for j in range(pivots)])).alias("heads"))
+    star = back(entries, heads).select("node", "n", "at", F.explode("heads").alias("h")).select("node", "n", "at", "h.*").where("node <> pivot").where(fits_there)
     # (pivot, row); a pair whose rows are each other's pivots stands under the larger.
     star = star.select(F.col("pivot").alias("a"), F.col("node").alias("b"), F.least("node", "pivot").alias("x"), F.greatest("node", "pivot").alias("y"))
     tested = stored(star.groupBy("x", "y").agg(F.max(F.struct("a", "b")).alias("p")).select("p.a", "p.b", "x", "y"), f"{folder}/star")
     first = verified(tested.select("a", "b"), "first")
     tied = stored(components(first, f"{folder}/tied"), f"{folder}/tied-nodes")
-    marked = stored(entries.join(tied, "node", "left").select("key", "salt", "node", "n", F.coalesce("component", "node").alias("component")), f"{folder}/marked")
+    marked = stored(entries.join(tied, "node", "left").select("key", "salt", "node", "n", "at", F.coalesce("component", "node").alias("component")), f"{folder}/marked")
     remove(spark, f"{folder}/entries")
     del entries, heads, star
     release(spark)
@@ -302,15 +306,15 @@ def links_of(docs: DataFrame, folder: str, words: int = WORDS, percent: int = PE
     per = per.where("parts > 1").select("key", "rows", F.array_distinct("salts").alias("salts"), F.col("most.component").alias("major"), (F.col("rows") - F.col("most.rows")).alias("odd"))
     open_rows = stored(back(marked, per), f"{folder}/open")
     remove(spark, f"{folder}/marked")
-    left = open_rows.where(F.col("rows") <= small).select("key", "node", "n", "component")
-    right = left.select("key", F.col("node").alias("other"), F.col("n").alias("m"), F.col("component").alias("apart"))
-    rest = left.join(right, "key").where("node < other and component <> apart").where(sizes_fit).select(F.col("node").alias("a"), F.col("other").alias("b"))
+    left = open_rows.where(F.col("rows") <= small).select("key", "node", "n", "at", "component")
+    right = left.select("key", F.col("node").alias("other"), F.col("n").alias("m"), F.col("at").alias("there"), F.col("component").alias("apart"))
+    rest = left.join(right, "key").where("node < other and component <> apart").where(fits_there).select(F.col("node").alias("a"), F.col("other").alias("b"))
     large = open_rows.where(F.col("rows") > small)
     if not large.isEmpty():
-        about = large.groupBy("node").agg(F.sort_array(F.collect_set("key")).alias("keys")).join(bitmaps.select("node", "bits"), "node")
+        about = large.groupBy("node").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "key"))), lambda x: x["key"]).alias("keys")).join(bitmaps.select("node", "bits"), "node")
         blocks = lambda n: F.ceil(F.col(n) / block).cast("int")
         both = large.join(about, "node").withColumns({"nb": blocks("rows"), "no": blocks("odd"), "is_odd": F.col("component") != F.col("major")})
-        common_columns = ["key", "i", "j", "node", "n", "component", "keys", "bits"]
+        common_columns = ["key", "i", "j", "node", "n", "at", "component", "keys", "bits"]
         every = both.withColumn("i", F.pmod(F.hash("node"), F.col("nb"))).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("no") - 1))).select(F.lit(0).alias("side"), *common_columns)
         odd = both.where("is_odd").withColumn("j", F.pmod(F.xxhash64("node"), F.col("no")).cast("int")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).select(F.lit(1).alias("side"), *common_columns)
 
@@ -319,17 +323,18 @@ def links_of(docs: DataFrame, folder: str, words: int = WORDS, percent: int = PE
             pdf = pdf.reset_index(drop=True)
             signs = np.stack([folded(np.frombuffer(b, np.uint8), LEAST_BITS // 8) for b in pdf["bits"]])
             set_bits = np.bitwise_count(signs).sum(1, dtype=np.int64)
-            sizes, nodes, apart = (pdf[c].to_numpy(np.int64) for c in ("n", "node", "component"))
-            keys = [frozenset(k.tolist()) for k in pdf["keys"]]
+            sizes, nodes, apart, place = (pdf[c].to_numpy(np.int64) for c in ("n", "node", "component", "at"))
+            keys = [k.tolist() for k in pdf["keys"]]  # in the columns' order
+            earlier = [frozenset(k[: k.index(own)]) for k in keys]
             one, two = np.flatnonzero(pdf["side"] == 0), np.flatnonzero(pdf["side"] == 1)
             out = []
             for k in two.tolist():
                 m, n = sizes[k], sizes[one]
                 shared = np.bitwise_count(signs[k] & signs[one]).sum(1, dtype=np.int64)
-                bound = np.minimum(m - set_bits[k], n - set_bits[one]) + shared
+                bound = np.minimum(np.minimum(m - set_bits[k], n - set_bits[one]) + shared, np.minimum(m - place[k], n - place[one]))
                 fits = (100 * np.minimum(m, n) >= percent * np.maximum(m, n)) & ((100 + percent) * bound >= percent * (m + n)) & (apart[one] != apart[k])
                 for q in one[fits].tolist():
-                    if min(keys[k] & keys[q]) == own:
+                    if earlier[k].isdisjoint(earlier[q]) and (100 + percent) * overlap_bound(pdf["bits"].iat[k], pdf["bits"].iat[q], m, sizes[q]) >= percent * (m + sizes[q]):
                         out.append((min(nodes[k], nodes[q]), max(nodes[k], nodes[q])))
             return pd.DataFrame(out, columns=["a", "b"])
 
