@@ -226,14 +226,16 @@ def links_of(docs: DataFrame, folder: str, words: int = WORDS, percent: int = PE
         return pd.Series([(100 + percent) * overlap_bound(a, b, k, l) >= percent * (k + l) for a, b, k, l in zip(x, y, m.tolist(), n.tolist())], dtype=bool)
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
-        """Links among distinct pairs (a, b); the product's row blocks are those of an a."""
-        one, two = (bitmaps.select(F.col("node").alias(x), F.col("bits").alias(f"p{x}"), F.col("n").alias(f"n{x}")) for x in "ab")
-        left = stored(pairs.join(one, "a").join(two, "b").where(possible("pa", "pb", "na", "nb")).select("a", "b", "na", "nb"), f"{folder}/{name}-left")
-        count = left.count()
-        per = left.groupBy("a").agg(F.ceil(F.greatest(F.sum("nb") / ROWS, F.count(F.lit(1)) / PARTNERS)).cast("int").alias("blocks"), F.count(F.lit(1)).alias("of"))
-        placed = spread_join(left, per, "a", "of", count).withColumn("block", F.pmod(F.hash("b"), F.col("blocks"))).drop("blocks")
-        placed = stored(placed, f"{folder}/{name}-placed")
-        remove(spark, f"{folder}/{name}-left")
+        """Links among distinct stored pairs (a, b); the product's row blocks are those of an a. What is known of an a, and into how many
+        blocks its partners go (their sizes are at most its own by the similarity), meets its pairs in one join."""
+        count = pairs.count()
+        per = pairs.groupBy(F.col("a").alias("node")).agg(F.count(F.lit(1)).alias("of"))
+        shingles_of = F.col("of") * F.col("n") * (100.0 / percent)
+        blocks = F.ceil(F.greatest(shingles_of / ROWS, F.col("of") / PARTNERS)).cast("int")
+        one = bitmaps.join(per, "node").select(F.col("node").alias("a"), F.col("bits").alias("pa"), F.col("n").alias("na"), blocks.alias("blocks"), "of")
+        two = bitmaps.select(F.col("node").alias("b"), F.col("bits").alias("pb"), F.col("n").alias("nb"))
+        placed = spread_join(pairs, one, "a", "of", count).join(two, "b").where(possible("pa", "pb", "na", "nb"))
+        placed = stored(placed.select("a", "b", "na", "nb", F.pmod(F.hash("b"), F.col("blocks")).alias("block")), f"{folder}/{name}-placed")
         asked = placed.select("a", "block", F.col("b").alias("node"), "na", "nb").unionByName(placed.select("a", "block", F.col("a").alias("node"), "na", F.lit(0).cast("long").alias("nb")).distinct())
         filter_bits = int(np.clip(rows.bit_length() + 4, 16, 28))
         sent = spark.sparkContext.broadcast(bloom(asked, "node", filter_bits))  # 32 MB at most
@@ -340,8 +342,8 @@ def links_of(docs: DataFrame, folder: str, words: int = WORDS, percent: int = PE
 
         rest = rest.unionByName(every.unionByName(odd).groupBy("key", "i", "j").applyInPandas(unit, "a long, b long"))
     rest = rest.distinct().join(tested.select(F.col("x").alias("a"), F.col("y").alias("b")), ["a", "b"], "left_anti")
-    second = verified(rest, "second")
-    for name in ("open", "star", "bitmaps"):
+    second = verified(stored(rest, f"{folder}/rest"), "second")
+    for name in ("open", "star", "bitmaps", "rest"):
         remove(spark, f"{folder}/{name}")
     links = first.unionByName(second)
     found = stored(components(links, f"{folder}/all"), f"{folder}/components")
