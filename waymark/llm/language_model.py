@@ -184,29 +184,39 @@ class Own:
     def adapt(self, t: np.ndarray, bit: np.ndarray, who: np.ndarray) -> np.ndarray:
         """The odds of decisions in coding order, who's text is whose, as the texts' own learning moves them: the same for all of a
         block, which then takes one gradient step on its coding cost."""
-        chosen = np.flatnonzero(self.long[who])
-        if not len(chosen):
+        edge = np.flatnonzero(np.concatenate([[True], who[1:] != who[:-1]])) if len(who) else np.zeros(0, np.int64)
+        size, text = np.diff(np.append(edge, len(who))), who[edge]
+        edge, size, text = (x[self.long[text]] for x in (edge, size, text))
+        if not len(text):
             return t
-        out, n = t.copy(), len(self.long)
-        w = who[chosen]
-        start = np.flatnonzero(np.concatenate([[True], w[1:] != w[:-1]]))
-        place = np.arange(len(w)) - np.repeat(start, np.diff(np.append(start, len(w)))) + self.held[w]
-        order = np.argsort(place // BLOCK, kind="stable")
-        cuts = np.searchsorted((place // BLOCK)[order], np.arange(place.max() // BLOCK + 2))
+        # Cells: a text's decisions up to the end of a block, those of the texts' first blocks here first.
+        first = np.minimum(size, BLOCK - self.held[text])
+        cells = 1 + -(-(size - first) // BLOCK)
+        turn = np.arange(cells.sum()) - np.repeat(np.cumsum(cells) - cells, cells)
+        begin = np.where(turn > 0, np.repeat(first - BLOCK, cells) + turn * BLOCK, 0)
+        length = np.where(turn > 0, np.minimum(BLOCK, np.repeat(size, cells) - begin), np.repeat(first, cells))
+        order = np.argsort(turn, kind="stable")
+        begin, length, text = (x[order] for x in (begin + np.repeat(edge, cells), length, np.repeat(text, cells)))
+        ends = np.cumsum(length)
+        place = np.arange(ends[-1]) + np.repeat(begin - (ends - length), length)
+        raw, one = t[place], bit[place]
+        odds = np.empty_like(raw)
+        cuts = np.searchsorted(turn[order], np.arange(cells.max() + 1))
         for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-            at = chosen[order[lo:hi]]
-            d, raw = who[at], t[at]
-            odds = raw * self.scale[d] + self.offset[d]
-            out[at] = odds
-            error = bit[at] - 1 / (1 + np.exp(-odds))
-            self.push += np.bincount(d, error, n)
-            self.pull += np.bincount(d, error * raw, n)
-            self.held += np.bincount(d, minlength=n)
-            full = np.flatnonzero(self.held == BLOCK)
-            if len(full):
-                self.offset[full] += RATE * self.push[full] / BLOCK**0.5
-                self.scale[full] += 0.1 * RATE * self.pull[full] / BLOCK**0.5
-                self.push[full], self.pull[full], self.held[full] = 0, 0, 0
+            d, n, part = text[lo:hi], length[lo:hi], slice(ends[lo] - length[lo], ends[hi - 1])
+            o = raw[part] * np.repeat(self.scale[d].astype(np.float32), n) + np.repeat(self.offset[d].astype(np.float32), n)
+            odds[part] = o
+            error = (one[part] - 1 / (1 + np.exp(-o))).astype(np.float64)
+            starts = np.cumsum(n) - n
+            self.push[d] += np.add.reduceat(error, starts)
+            self.pull[d] += np.add.reduceat(error * raw[part], starts)
+            self.held[d] += n
+            full = d[self.held[d] == BLOCK]
+            self.offset[full] += RATE * self.push[full] / BLOCK**0.5
+            self.scale[full] += 0.1 * RATE * self.pull[full] / BLOCK**0.5
+            self.push[full], self.pull[full], self.held[full] = 0, 0, 0
+        out = t.copy()
+        out[place] = odds
         return out
 
 
