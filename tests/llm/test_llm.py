@@ -355,21 +355,18 @@ def test_language_model_against_plain_steps(monkeypatch):
     monkeypatch.setattr(language_model, "BLOCK", 40)
     rng = np.random.default_rng(6)
     held = [" ".join(f"w{x}" for x in rng.zipf(1.5, n) % 300) for n in (0, 1, 5, 300, 40, 2, 700)]
-    stream = language_model.Stream(None)
-    ids, _ = stream.batch(held)
-    hashes, counts = np.unique(np.array(stream.words.hashes, np.int64)[ids], return_counts=True)
+    h, lengths = language_model.tokens(held)
+    hashes, counts = np.unique(h, return_counts=True)
     shared = hashes & (language_model.CLASSES - language_model.OWN - 1)
     code = language_model.Code(hashes, counts, int(counts.sum()), len(hashes), np.bincount(shared, counts, 512).astype(np.int64) // 2 + 1, np.bincount(shared, minlength=512))
     sizes = [2 * language_model.CLASSES] + [2 << language_model.SLOT_BITS] * language_model.ORDERS
     model = language_model.Model([rng.integers(0, 9, s) for s in sizes])
     model.weights += rng.normal(0, 0.05, model.weights.shape).astype(np.float32)
     model.refine = rng.uniform(0.1, 0.9, language_model.BINS * language_model.DEPTHS).astype(np.float32)
-    stream = language_model.Stream(code)
-    ids, lengths = stream.batch(held)
-    h, cls = stream.parts[0][ids], stream.parts[1][ids]
+    cls = code.classes(h, code.find(h))
     paths = code.starts[cls + 1] - code.starts[cls]
     starts = np.cumsum(lengths) - lengths
-    got = np.empty(len(ids))
+    got = np.empty(len(h))
     for size in (1 << 15, 97):  # also where slices cut texts and blocks
         monkeypatch.setattr(language_model, "SLICE", size)
         own, who = language_model.Own(np.add.reduceat(paths, starts)), np.repeat(np.arange(len(held)), lengths)
@@ -402,6 +399,33 @@ def test_language_model_against_plain_steps(monkeypatch):
             assert abs(total - got[a : a + n].sum()) < 2e-3 * max(1, abs(total)), (d, size)
 
 
+def test_pairs_and_paths_give_the_counts_of_all_decisions(monkeypatch):
+    """Counts by pairs of classes against one count for each decision; words found by table against a search."""
+    monkeypatch.setattr(language_model, "TOKENS", 500)
+    monkeypatch.setattr(language_model, "SLICE", 97)
+    rng = np.random.default_rng(8)
+    parts = [[" ".join(f"w{x}" for x in rng.zipf(1.3, n) % 3000) for n in (0, 1, 900, 40)] for _ in range(3)]
+    h, _ = language_model.tokens(sum(parts, []))
+    hashes, counts = np.unique(h, return_counts=True)
+    hashes, counts = hashes[counts > 1], counts[counts > 1]
+    shared = hashes & (language_model.CLASSES - language_model.OWN - 1)
+    code = language_model.Code(hashes, counts, len(h), len(hashes), np.bincount(shared, counts, 512).astype(np.int64), np.bincount(shared, minlength=512))
+    assert (hashes[code.find(h)][code.find(h) >= 0] == h[np.isin(h, hashes)]).all() and ((code.find(h) >= 0) == np.isin(h, hashes)).all()
+    crowded = np.arange(1, 2000) * 3  # all of one place
+    full = language_model.Code(crowded, crowded, 1, 1, np.ones(512, np.int64), np.ones(512, np.int64))
+    assert (full.find(np.arange(6000)) == np.where((np.arange(6000) % 3 == 0) & (np.arange(6000) > 0), np.arange(6000) // 3 - 1, -1)).all()
+    seen = language_model.Seen(code)
+    want = [collections.Counter() for _ in seen.tables]
+    for part in parts:
+        h, lengths = language_model.tokens(part)
+        cls = code.classes(h, code.find(h))
+        seen.add(cls, h, lengths)
+        for _, _, node, bit, _, slots in language_model.decisions(code, cls, h, lengths):
+            for c, at in zip(want, [node, *slots]):
+                c.update((2 * at + bit).tolist())
+    assert [dict(zip(np.flatnonzero(t).tolist(), t[t > 0].tolist())) for t in seen.all()] == [dict(c) for c in want]
+
+
 def test_language_model_of_nothing(empty, docs):
     assert language_model.score(empty).count() == 0
     alone = language_model.score(docs.where("text is null")).toPandas()

@@ -19,13 +19,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waymark.llm.common import blank_words, narrow, remove, segment_of, shared_folder, stored, summed_segments, table, texts, trim, vector_rows
+from waymark.llm.common import blank_words, narrow, remove, segment_of, shared_folder, stored, summed_segments, table, texts, trim, vector_rows, word_hashes
 
 ALPHA = 0.1
 CLASSES, OWN = 1024, 512  # classes, and those with one word
@@ -33,7 +32,9 @@ TOP = 1 << 18  # words whose counts are sent to every task; the others are joine
 SLOT_BITS, ORDERS = 19, 3  # size and number of the hashed tables
 LEVELS, INPUTS = 5, ORDERS + 2  # gate levels of a context; inputs: order 0, the tables, a constant
 BINS, DEPTHS = 33, 24
-END = xxhash.xxh3_64_intdigest(b" end") - (1 << 64 if xxhash.xxh3_64_intdigest(b" end") >> 63 else 0)
+FIND_BITS = 20  # size of the table by which those words are found: a quarter of it is used
+DISTINCT, TOKENS = 300_000, 1 << 20  # words whose counts a task holds, and tokens it holds uncounted
+END = b" end"  # no word has a blank
 SCALE = 1 << 20  # fixed point of what tasks report
 SLICE = 1 << 15
 ROWS = 500  # texts worked on at once
@@ -54,18 +55,15 @@ def slices(batches: Iterator[pd.DataFrame], wanted) -> Iterator[list[str | None]
             yield held[k : k + ROWS]
 
 
-class Words(dict):
-    """word -> local number; hashes by number."""
-
-    def __init__(self):
-        super().__init__()
-        self.hashes: list[int] = [END]
-
-    def __missing__(self, word: bytes) -> int:
-        h = xxhash.xxh3_64_intdigest(word)
-        k = self[word] = len(self.hashes)
-        self.hashes.append(h - (1 << 64) if h >> 63 else h)
-        return k
+def tokens(held: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of all texts, each text's followed by the end's; the number of tokens of each."""
+    words, sizes = [], np.empty(len(held), np.int64)
+    for k, text in enumerate(held):
+        before = len(words)
+        words += blank_words(text)
+        words.append(END)
+        sizes[k] = len(words) - before
+    return word_hashes(words).view(np.int64), sizes
 
 
 def huffman(weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -96,63 +94,68 @@ class Code:
     """What tasks need to know of the words: counts of the frequent ones, classes, paths."""
 
     def __init__(self, hashes: np.ndarray, counts: np.ndarray, total: int, distinct: int, class_counts: np.ndarray, class_words: np.ndarray):
-        order = np.argsort(hashes)
-        self.hashes, self.counts = hashes[order], counts[order]
-        rank = np.argsort(np.lexsort((hashes, -counts)))[order]  # place by count
-        self.own = np.where(rank < OWN, rank, -1)
+        rank = np.empty(len(hashes), np.int64)
+        rank[np.lexsort((hashes, -counts))] = np.arange(len(hashes))  # place by count
+        own = np.where(rank < OWN, rank, -1)
         self.total, self.distinct = total, distinct
         self.log_total = np.log10(total + ALPHA * (distinct + 1))
         self.log_class = np.log10(class_counts + ALPHA * (class_words + 1))
+        logs = np.log10(counts + ALPHA)
+        # What is known of the frequent words, in the order given; last what holds for all others.
+        self.hashes, self.own = np.append(hashes, 0), np.append(own, -1)
+        self.base = np.append(logs - self.log_total, 0.0)
+        self.inner = np.append(np.where(own < 0, logs - self.log_class[hashes & (CLASSES - OWN - 1)], 0.0), 0.0)
+        # Each stands at the first free place from the one its hash names on.
+        self.places = np.full(1 << FIND_BITS, -1, np.int32)
+        left = np.arange(len(hashes), dtype=np.int32)
+        at = self.place(hashes)
+        while len(left):
+            free = self.places[at] < 0
+            self.places[at[free]] = left[free]
+            out = self.places[at] != left
+            left, at = left[out], (at[out] + 1) & ((1 << FIND_BITS) - 1)
         weights = np.concatenate([np.zeros(OWN), class_counts]) + 0.5
-        weights[self.own[self.own >= 0]] += self.counts[self.own >= 0]
+        weights[own[own >= 0]] += counts[own >= 0]
         self.starts, self.nodes, self.bits = huffman(weights)
 
-    def describe(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Class, base term, term within the class, and whether the word is a frequent one, of each hash."""
-        at = np.searchsorted(self.hashes, h).clip(0, max(0, len(self.hashes) - 1))
-        top = self.hashes[at] == h if len(self.hashes) else np.zeros(len(h), bool)
-        own = np.where(top, self.own[at], -1) if len(self.hashes) else np.full(len(h), -1)
-        shared = h & (CLASSES - OWN - 1)
-        logs = np.log10(np.where(top, self.counts[at], 0) + ALPHA) if len(self.hashes) else np.full(len(h), np.log10(ALPHA))
-        return np.where(own >= 0, own, OWN + shared), np.where(top, logs - self.log_total, 0.0), np.where(top & (own < 0), logs - self.log_class[shared], 0.0), top
-
-
-class Stream:
-    """Texts as arrays of local word numbers, with what Code says of them; the words kept are bounded."""
-
-    def __init__(self, code: Code | None, limit: int = 300_000):
-        self.code, self.limit = code, limit
-        self.words, self.known = Words(), 0
-        self.parts: list[np.ndarray] = []
-
-    def batch(self, held: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """Word numbers of all texts, each followed by the end's 0; the number of tokens of each."""
-        if len(self.words.hashes) > self.limit:
-            self.words, self.known, self.parts = Words(), 0, []
-        get, out, sizes = self.words.__getitem__, [], []
-        for text in held:
-            words = blank_words(text)
-            out.append(np.fromiter(map(get, words), np.int32, len(words)))
-            out.append(np.zeros(1, np.int32))
-            sizes.append(len(words) + 1)
-        if self.code and self.known < len(self.words.hashes):
-            h = np.array(self.words.hashes[self.known :], np.int64)
-            fresh = (h, *self.code.describe(h))
-            self.parts = list(fresh) if not self.parts else [np.concatenate(p) for p in zip(self.parts, fresh)]
-            self.known = len(self.words.hashes)
-        return (np.concatenate(out) if out else np.zeros(0, np.int32)), np.array(sizes, np.int64)
-
-
-def decisions(code: Code, cls: np.ndarray, hashes: np.ndarray, sizes: np.ndarray) -> Iterator[tuple]:
-    """For slices of the tokens: first token, bounds of each token's decisions, tree node, bit, depth, table slots."""
-    n = len(cls)
-    first = np.zeros(n, bool)
+    @staticmethod
+    def place(h: np.ndarray) -> np.ndarray:
+        return (h.view(np.uint64) >> np.uint64(64 - FIND_BITS)).view(np.int64)
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """Numbers of the frequent words among the hashes, -1 for all others."""
+        at = self.place(h)
+        found = self.places[at]
+        left = np.flatnonzero((found >= 0) & (self.hashes[found] != h))
+        at = at[left]
+        while len(left):
+            at = (at + 1) & ((1 << FIND_BITS) - 1)
+            found[left] = self.places[at]
+            on = (found[left] >= 0) & (self.hashes[found[left]] != h[left])
+            left, at = left[on], at[on]
+        return found
+
+    def classes(self, h: np.ndarray, found: np.ndarray) -> np.ndarray:
+        own = self.own[found]
+        return np.where(own >= 0, own, OWN + (h & (CLASSES - OWN - 1)))
+
+
+def neighbours(cls: np.ndarray, hashes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each token: the class before, the class before that, the word before."""
+    first = np.zeros(len(cls), bool)
     first[np.cumsum(sizes) - sizes] = True
     before = np.where(first, CLASSES, np.roll(cls, 1)).astype(np.uint64)
-    second = np.where(first, CLASSES, np.roll(before, 1)).astype(np.uint64)
-    word = np.where(first, 0, np.roll(hashes, 1)).view(np.uint64)
-    contexts = [before * M1, (before * M2 + second) * M1, word * M3 + M2]
-    for a in range(0, n, SLICE):
+    return before, np.where(first, CLASSES, np.roll(before, 1)).astype(np.uint64), np.where(first, 0, np.roll(hashes, 1)).view(np.uint64)
+
+
+def contexts(before: np.ndarray, second: np.ndarray | None = None, word: np.ndarray | None = None) -> list[np.ndarray]:
+    """Contexts of the tables; of the first alone without the others."""
+    return [before * M1] + ([] if second is None else [(before * M2 + second) * M1, word * M3 + M2])
+
+
+def walk(code: Code, cls: np.ndarray, given: list[np.ndarray]) -> Iterator[tuple]:
+    """For slices of the tokens: first token, bounds of each token's decisions, tree node, bit, depth, table slots of the contexts."""
+    for a in range(0, len(cls), SLICE):
         c = cls[a : a + SLICE]
         start = code.starts[c]
         length = code.starts[c + 1] - start
@@ -162,7 +165,7 @@ def decisions(code: Code, cls: np.ndarray, hashes: np.ndarray, sizes: np.ndarray
         node = code.nodes[at]
         mixed = (node.astype(np.uint64) + np.uint64(1)) * M3
         slots = []
-        for x in contexts:
+        for x in given:
             y = np.repeat(x[a : a + SLICE], length)
             y ^= mixed
             y *= M1
@@ -171,6 +174,48 @@ def decisions(code: Code, cls: np.ndarray, hashes: np.ndarray, sizes: np.ndarray
         yield a, bounds, node, code.bits[at], np.minimum(depth, DEPTHS - 1), slots
 
 
+def decisions(code: Code, cls: np.ndarray, hashes: np.ndarray, sizes: np.ndarray) -> Iterator[tuple]:
+    """walk() through whole texts with all their contexts."""
+    return walk(code, cls, contexts(*neighbours(cls, hashes, sizes)))
+
+
+class Seen:
+    """Counts of bits by order 0 and table from the texts of a task.
+
+    Order 0 and the first table know of a token its class and the class before, so pairs are counted and each one's path is walked once.
+    """
+
+    def __init__(self, code: Code):
+        self.code, self.tables = code, [np.zeros(2 * CLASSES, np.int64)] + [np.zeros(2 << SLOT_BITS, np.int64) for _ in range(ORDERS)]
+        self.pairs = np.zeros((CLASSES + 1) * CLASSES, np.int64)
+        self.held: list[list[np.ndarray]] = [[] for _ in range(ORDERS)]
+
+    def add(self, cls: np.ndarray, hashes: np.ndarray, sizes: np.ndarray) -> None:
+        before, second, word = neighbours(cls, hashes, sizes)
+        self.held[0].append(before.view(np.int64) * CLASSES + cls)
+        for _, _, _, bit, _, slots in walk(self.code, cls, contexts(before, second, word)[1:]):
+            for places, at in zip(self.held[1:], slots):
+                places.append(2 * at + bit)
+            if sum(map(len, self.held[1])) >= TOKENS:
+                self.count()
+
+    def count(self) -> None:
+        for table, places in zip([self.pairs, *self.tables[2:]], self.held):
+            if places:
+                table += np.bincount(np.concatenate(places), minlength=len(table))
+                places.clear()
+
+    def all(self) -> list[np.ndarray]:
+        self.count()
+        used = np.flatnonzero(self.pairs)
+        before, cls = np.divmod(used, CLASSES)
+        for a, bounds, node, bit, _, slots in walk(self.code, cls, contexts(before.astype(np.uint64))):
+            times = np.repeat(self.pairs[used[a : a + len(bounds)]], np.diff(np.append(bounds, len(node))))
+            for table, at in zip(self.tables, [node, slots[0]]):
+                np.add.at(table, 2 * at + bit, times)
+        return self.tables
+
+
 class Own:
     """What the texts of a batch learn of themselves while they are scored: a scale and an offset of the mixed odds of each."""
 
@@ -269,7 +314,7 @@ class Model:
         p = 1 / (1 + np.exp(-t))
         if self.refine is not None:
             p = np.float32(0.5) * p + np.float32(0.5) * self.refine.take(self.bins(t, depth))
-        return np.log10(np.clip(np.where(bit == 1, p, 1 - p), np.float32(1e-6), np.float32(1)))
+        return np.log10(np.clip(np.abs(p - (1 - bit).astype(np.float32)), np.float32(1e-6), np.float32(1)))
 
 
 def packed(tables: list[np.ndarray]) -> pd.DataFrame:
@@ -303,23 +348,28 @@ def score(docs: DataFrame) -> DataFrame:
     chosen = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
 
     def count_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        stream, total, owner = Stream(None), np.zeros(1, np.int64), None
-
-        def flush():
-            used = np.flatnonzero(total)
-            if len(used):
-                yield pd.DataFrame({"h": np.array(owner.hashes, np.int64)[used], "c": total[used]})
-
-        for held in slices(batches, lambda f: f > 0):
-            if len(stream.words.hashes) > stream.limit:
-                yield from flush()
-                total = np.zeros(1, np.int64)
-            ids, _ = stream.batch(held)
-            owner = stream.words
-            grown = np.bincount(ids, minlength=len(owner.hashes))
-            grown[: len(total)] += total[: len(grown)]
-            total = grown
-        yield from flush()
+        seen, times = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        held: list[np.ndarray] = []
+
+        def add() -> None:
+            nonlocal seen, times
+            h = np.concatenate([seen, *held])
+            n = np.concatenate([times, np.ones(len(h) - len(seen), np.int64)])
+            held.clear()
+            order = np.argsort(h, kind="stable")
+            h = h[order]
+            starts = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
+            seen, times = h[starts], np.add.reduceat(n[order], starts) if len(h) else n
+
+        for part in slices(batches, lambda f: f > 0):
+            held.append(tokens(part)[0])
+            if sum(map(len, held)) >= TOKENS:
+                add()
+                if len(seen) > DISTINCT:
+                    yield pd.DataFrame({"h": seen, "c": times})
+                    seen, times = seen[:0], times[:0]
+        add()
+        yield pd.DataFrame({"h": seen, "c": times})
         trim()
 
     counts = stored(chosen.mapInPandas(count_words, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")), f"{folder}/counts")
@@ -348,25 +398,12 @@ def score(docs: DataFrame) -> DataFrame:
 
     def learn_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         code = sent_code.value
-        stream, tables = Stream(code), [np.zeros(s, np.int64) for s in sizes]
-        held: list[list[np.ndarray]] = [[] for _ in tables]
-
-        def add() -> None:
-            for t, places in zip(tables, held):
-                if places:
-                    t += np.bincount(np.concatenate(places), minlength=len(t))
-                    places.clear()
-
+        seen = Seen(code)
         for part in slices(batches, lambda f: f > 1):
-            ids, lengths = stream.batch(part)
-            for _, _, node, bit, _, slots in decisions(code, stream.parts[1][ids], stream.parts[0][ids], lengths):
-                for places, at in zip(held, [node, *slots]):
-                    places.append(2 * at + bit)
-                if sum(map(len, held[0])) >= 1 << 20:
-                    add()
-        add()
-        yield packed(tables)
-        del tables, held
+            h, lengths = tokens(part)
+            seen.add(code.classes(h, code.find(h)), h, lengths)
+        yield packed(seen.all())
+        del seen
         trim()
 
     made = stored(chosen.mapInPandas(learn_counts, "part int, segment int, blob binary"), f"{folder}/tables")
@@ -379,12 +416,13 @@ def score(docs: DataFrame) -> DataFrame:
         """From a slice, fixed-point sums: weights times bits seen by gate, bits seen by gate, and bits and ones by refinement bin."""
         code, model = sent_code.value, Model.__new__(Model)
         model.__dict__ = sent.value.__dict__ | {"weights": sent.value.weights.copy()}
-        stream, gates = Stream(code), np.zeros(LEVELS * LEVELS, np.int64)
+        gates = np.zeros(LEVELS * LEVELS, np.int64)
         seen, ones = np.zeros(BINS * DEPTHS, np.int64), np.zeros(BINS * DEPTHS, np.int64)
         held = texts(pdf.sort_values(["doc_id", "text"], na_position="first", kind="stable")["text"])
         for k in range(0, len(held), ROWS):
-            ids, lengths = stream.batch(held[k : k + ROWS])
-            for _, _, node, bit, depth, slots in decisions(code, stream.parts[1][ids], stream.parts[0][ids], lengths):
+            h, lengths = tokens(held[k : k + ROWS])
+            cls = code.classes(h, code.find(h))
+            for _, _, node, bit, depth, slots in decisions(code, cls, h, lengths):
                 x, gate = model.inputs(node, slots)
                 at = Model.bins(model.learn(x, gate, bit), depth)
                 gates += np.bincount(gate, minlength=len(gates))
@@ -410,14 +448,15 @@ def score(docs: DataFrame) -> DataFrame:
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         code, model, row = sent_code.value, sent_model.value, TaskContext.get().partitionId() << 40
-        stream = Stream(code)
         for whole in batches:
             for k in range(0, len(whole), ROWS):
                 pdf = whole[k : k + ROWS]
                 held = texts(pdf["text"])
-                ids, lengths = stream.batch(held)
-                h, cls, base, inner, top = (p[ids] for p in stream.parts)
-                bits = np.empty(len(ids))
+                h, lengths = tokens(held)
+                found = code.find(h)
+                cls, top = code.classes(h, found), found >= 0
+                base, inner = code.base[found], code.inner[found]
+                bits = np.empty(len(h))
                 ends = np.cumsum(lengths)
                 starts = ends - lengths
                 paths = code.starts[cls + 1] - code.starts[cls]
