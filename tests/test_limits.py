@@ -30,7 +30,7 @@ def events(folder, speeds):
     return con
 
 
-@pytest.mark.parametrize("name", ["case_summary", "filter_points"])
+@pytest.mark.parametrize("name", ["case_summary", "filter_points", "jerk_envelope_points"])
 def test_jerk_at_a_limit(spark, tmp_path, name):
     con = events(tmp_path, AT_LIMITS)
     ours, theirs = QUERIES[name](spark, str(tmp_path)).toPandas(), con.execute(ORACLE_SQL[name]).df()
