@@ -1,6 +1,7 @@
 """Rows that stand at a limit, against the queries' SQL."""
 
 import datetime
+import random
 
 import duckdb
 import pandas as pd
@@ -35,3 +36,15 @@ def test_jerk_at_a_limit(spark, tmp_path, name):
     con = events(tmp_path, AT_LIMITS)
     ours, theirs = QUERIES[name](spark, str(tmp_path)).toPandas(), con.execute(ORACLE_SQL[name]).df()
     assert len(ours) and rows(ours) == rows(theirs)
+
+
+def test_sixth_decimal(spark, tmp_path):
+    """Positions that end in half a millionth are rounded as by the SQL. Vehicles have 16 rows at most: longer sums have no fixed order in the SQL."""
+    dealt = random.Random(7)
+    con = events(tmp_path, [[round(dealt.uniform(0.01, 20), 2) for _ in range(16)] for _ in range(1500)])
+    ours, theirs = QUERIES["xy_interpolate"](spark, str(tmp_path)).toPandas(), con.execute(ORACLE_SQL["xy_interpolate"]).df()
+    keys = ["data_type", "vehicle_id", "timestep_time"]
+    both = ours.merge(theirs, on=keys)
+    assert len(both) == len(ours) == len(theirs) == 2 * 16 * 1500
+    for c in ("vehicle_x", "vehicle_y"):
+        assert ((both[f"{c}_x"] == both[f"{c}_y"]) | both[f"{c}_x"].isna() & both[f"{c}_y"].isna()).all()
