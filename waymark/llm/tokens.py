@@ -16,8 +16,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
-#: A mark after one of these letters or digits is a piece of its own in both vocabularies.
-LETTERS, MARKS = "A-Za-z0-9À-ÖØ-öø-ÿ", ".,;:!?"
+#: A mark after one of these letters or digits is a piece of its own in both vocabularies; in that of "lead" a run of any marks
+#: of ASCII begins one, but not of an apostrophe, which some endings take with them.
+LETTERS, MARKS, LEAD_MARKS = "A-Za-z0-9À-ÖØ-öø-ÿ", ".,;:!?", r"!-&(-/:-@\[-`{-~"
 SPLIT = "\x1f"
 #: Texts that go to the library whole. "drop": white space carries no ids. "lead": a blank belongs to the word after it, so
 #: white space other than single blanks and line ends between words is left to the library.
@@ -31,6 +32,7 @@ class Pieces:
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = special_as_text
         self.kind, self.limit = cut, limit
+        self.line_end = self.library.encode("\n", add_special_tokens=False).ids  # none where white space carries no ids
         marks = sorted(t.content for t in self.library.get_added_tokens_decoder().values() if t.content)
         self.whole = "|".join([WHOLE[cut], *(f"(?i:{re.escape(m)})" for m in marks)])
         self.new: dict[str, bytes] = {}
@@ -40,8 +42,15 @@ class Pieces:
         return np.asarray(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def encode_all(self, pieces: list[str]) -> list[bytes]:
-        """Ids of pieces, encoded joined by line ends and told apart by offsets."""
-        found = self.library.encode("\n".join(pieces), add_special_tokens=False)
+        """Ids of pieces, encoded joined by line ends and told apart by the line end's id, which no piece has, or else by offsets."""
+        joined = "\n".join(pieces)
+        if self.kind == "lead" and len(self.line_end) == 1:
+            ids = np.asarray(self.library.encode_batch_fast([joined], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.flatnonzero(ids == self.line_end[0])
+            if len(ends) == len(pieces) - 1:
+                whole, bounds = ids.tobytes(), (4 * ends).tolist()
+                return [whole[a:b] for a, b in zip([0, *(e + 4 for e in bounds)], [*bounds, len(whole)])]
+        found = self.library.encode(joined, add_special_tokens=False)
         ids, at = np.asarray(found.ids, "<u4"), np.asarray(found.offsets, np.int64).reshape(-1, 2)[:, 0]
         sizes = np.fromiter(map(len, pieces), np.int64, len(pieces)) + 1
         starts = np.cumsum(sizes) - sizes
@@ -52,19 +61,18 @@ class Pieces:
     def learn(self, pieces: list[str]) -> list[bytes]:
         """Ids of distinct pieces; all are remembered but very long ones."""
         new, old = self.new, self.old
-        got = [new.get(p) for p in pieces]
+        got = list(map(new.get, pieces))
         asked = []
-        for k, ids in enumerate(got):
-            if ids is None:
-                p = pieces[k]
-                if (ids := old.get(p)) is None:
-                    if p and not p.isspace() and len(p) <= 1000:
-                        asked.append(k)
-                        continue
-                    ids = self.encode(p)
-                got[k] = ids
-                if len(p) <= 60:
-                    new[p] = ids
+        for k in [k for k, ids in enumerate(got) if ids is None]:
+            p = pieces[k]
+            if (ids := old.get(p)) is None:
+                if p and not p.isspace() and len(p) <= 1000:
+                    asked.append(k)
+                    continue
+                ids = self.encode(p)
+            got[k] = ids
+            if len(p) <= 60:
+                new[p] = ids
         for k in range(0, len(asked), 2000):
             part = [pieces[j] for j in asked[k : k + 2000]]
             for j, p, ids in zip(asked[k : k + 2000], part, self.encode_all(part)):
@@ -79,7 +87,7 @@ class Pieces:
         if self.kind == "drop":
             apart = pc.replace_substring_regex(pc.ascii_lower(texts), f"([{LETTERS}])([{MARKS}])", r"\1 \2")
             return pc.ascii_split_whitespace(apart)
-        apart = pc.replace_substring_regex(texts, f"([{LETTERS}])([{MARKS}])", rf"\1{SPLIT}\2")
+        apart = pc.replace_substring_regex(texts, f"([{LETTERS}])([{LEAD_MARKS}])", rf"\1{SPLIT}\2")
         apart = pc.replace_substring(pc.replace_substring(apart, " ", f"{SPLIT} "), "\n", f"{SPLIT}\n{SPLIT}")
         return pc.split_pattern(apart, SPLIT)
 
@@ -94,16 +102,12 @@ class Pieces:
             lists = self.cut(arrow.take(pa.array(rest)))
             ends = lists.offsets.to_numpy()
             flat = lists.flatten().dictionary_encode()
-            codes = flat.indices.to_numpy(zero_copy_only=False)
-            ids = self.learn(flat.dictionary.to_pylist())
-            sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-            starts = np.cumsum(sizes) - sizes
-            n = sizes[codes]
-            until = np.concatenate([[0], np.cumsum(n)])
-            every = np.frombuffer(b"".join(ids), "<u4")[np.repeat(starts[codes] - until[:-1], n) + np.arange(until[-1])].tobytes()
-            bounds = (4 * until[ends - ends[0]]).tolist()
+            ids = pa.array(self.learn(flat.dictionary.to_pylist()), pa.large_binary()).take(flat.indices)
+            _, until, every = ids.buffers()
+            bounds = np.frombuffer(until, np.int64, len(ids) + 1, 8 * ids.offset)[ends - ends[0]].tolist() if len(ids) else [0] * len(ends)
             for k, a, b in zip(rest.tolist(), bounds, bounds[1:]):
-                out[k] = every[a:b]
+                if a < b:
+                    out[k] = every[a:b].to_pybytes()
         return out
 
     def batch(self, texts: list[str | None], chars: int = 1 << 23) -> list[bytes]:
