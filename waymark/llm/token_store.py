@@ -122,7 +122,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, cut: str, end_id: int |
     width = 2 if vocabulary <= 1 << 16 else 4
 
     def write_part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        library, part = pieces(tokenizer, cut), TaskContext.get().partitionId()
+        library, part = pieces(tokenizer, cut, limit=500_000), TaskContext.get().partitionId()
         writer, docs_n, ids_n, path = None, 0, 0, f"{folder}/{part:07d}-{uuid.uuid4().hex}.zst"
         for pdf in batches:
             if writer is None and len(pdf):
