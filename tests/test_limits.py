@@ -38,6 +38,22 @@ def test_jerk_at_a_limit(spark, tmp_path, name):
     assert len(ours) and rows(ours) == rows(theirs)
 
 
+#: Speeds of a vehicle whose accelerations and jerks are next to zero, or go to zero from below when they are rounded.
+NEAR_ZERO = ((0.1, 0.2, 0.3, 0.4, 0.5, 0.6), (5.0, 4.97, 4.96, 4.96, 4.97, 4.93), (7.3, 7.2, 7.1, 7.0, 6.9, 6.8), (3.0, 3.0, 2.9999999, 2.9999999, 3.0, 2.9999998))
+
+
+def exact(frame, keys=("trip_id", "vehicle_id", "timestep_time")):
+    """Rows to the last bit: a zero below zero isn't a zero above it."""
+    return [tuple(map(repr, r)) for r in frame.sort_values(list(keys))[sorted(frame.columns)].astype(object).values.tolist()]
+
+
+@pytest.mark.parametrize("name", ["filter_points"])
+def test_sign_of_zero(spark, tmp_path, name):
+    con = events(tmp_path, NEAR_ZERO)
+    ours, theirs = QUERIES[name](spark, str(tmp_path)).toPandas(), con.execute(ORACLE_SQL[name]).df()
+    assert any("-0.0" in r for r in exact(theirs)) and exact(ours) == exact(theirs)
+
+
 def test_sixth_decimal(spark, tmp_path):
     """Positions that end in half a millionth are rounded as by the SQL. Vehicles have 16 rows at most: longer sums have no fixed order in the SQL."""
     dealt = random.Random(7)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from waymark.functions.columns import number
+from waymark.functions.columns import half_even, number
 
 KEYS = ["trip_id", "vehicle_id"]
 
@@ -94,7 +94,7 @@ def filter_cases(df: DataFrame, envelope: DataFrame, dt: float | None = None, de
     if points:
         w = Window.partitionBy(*KEYS).orderBy("timestep_time")
         with_next = rows.withColumn("accel_next", F.lead("vehicle_accel").over(w))
-        out["points"] = jerk_points(with_next, envelope, dt, decimals).withColumn("accel_round", tenths(F.col("vehicle_accel"), decimals) / 10**decimals).select(
+        out["points"] = jerk_points(with_next, envelope, dt, decimals).withColumn("accel_round", half_even(F.col("vehicle_accel"), decimals)).select(
             *KEYS, "timestep_time", "vehicle_accel", "accel_next", "jerk", "accel_round", "jerk_min", "jerk_max", F.col("has_limits").alias("has_thr"), F.col("in_envelope").alias("in_env"), "idx", "n"
         )
     return out

@@ -49,12 +49,13 @@ def accel_table(spark: SparkSession) -> DataFrame:
 
 
 def r6(df: DataFrame, *names: str) -> DataFrame:
-    """Doubles at six decimals, as the SQL rounds them: half away from zero by the double's millionfold, not by its shortest decimals."""
+    """Doubles at six decimals, as the SQL rounds them: half away from zero by the double's millionfold, not by its shortest decimals.
+    What is rounded to zero keeps its sign."""
     for c, kind in df.dtypes:
         if kind == "double" and (not names or c in names):
             many = F.col(c) * 1e6
             whole = F.rint(many)  # half to even: a half that went to zero goes back
-            whole = whole + F.when(many - whole == F.signum(many) * 0.5, F.signum(many)).otherwise(0.0)
+            whole = F.when(many - whole == F.signum(many) * 0.5, whole + F.signum(many)).otherwise(whole)
             df = df.withColumn(c, F.when(F.abs(many) < float("inf"), whole / 1e6).otherwise(F.col(c)))
     return df
 
