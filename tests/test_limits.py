@@ -47,13 +47,26 @@ def exact(frame, keys=("trip_id", "vehicle_id", "timestep_time")):
     return [tuple(map(repr, r)) for r in frame.sort_values(list(keys))[sorted(frame.columns)].astype(object).values.tolist()]
 
 
-@pytest.mark.parametrize("name", ["filter_points"])
+@pytest.mark.parametrize("name", ["filter_points", "jerk_envelope_points"])
 def test_sign_of_zero(spark, tmp_path, name):
     con = events(tmp_path, NEAR_ZERO)
     ours, theirs = QUERIES[name](spark, str(tmp_path)).toPandas(), con.execute(ORACLE_SQL[name]).df()
     assert any("-0.0" in r for r in exact(theirs)) and exact(ours) == exact(theirs)
 
 
+@pytest.mark.parametrize("name", ["filter_points", "jerk_envelope_points"])
+def test_events_without_a_time(spark, tmp_path, name):
+    """They come last, those without an id behind the others."""
+    con = events(tmp_path, [(3.0, 4.5, 6.25, 2.0, 7.75, 1.5), (1.0, 1.5, 0.0, 2.5, 2.25, 9.0)])
+    frame = pd.read_parquet(tmp_path / "events.parquet")
+    frame.loc[[0, 2, 4, 7, 8, 9], "ts"] = pd.NaT
+    frame["event_id"] = frame["event_id"].astype("Int64")
+    frame.loc[[2, 8], "event_id"] = pd.NA
+    frame.to_parquet(tmp_path / "events.parquet", index=False)
+    ours, theirs = QUERIES[name](spark, str(tmp_path)).toPandas(), con.execute(ORACLE_SQL[name]).df()
+    assert len(ours) and exact(ours) == exact(theirs)
+
+
 def test_sixth_decimal(spark, tmp_path):
     """Positions that end in half a millionth are rounded as by the SQL. Vehicles have 16 rows at most: longer sums have no fixed order in the SQL."""
     dealt = random.Random(7)

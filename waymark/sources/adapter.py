@@ -11,8 +11,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def fcd(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """events as floating-car data: a user is a vehicle, its events follow second by second, errors stand still."""
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    """events as floating-car data: a user is a vehicle, its events follow second by second, those without a time last; errors stand still."""
+    w = Window.partitionBy("user_id").orderBy(F.asc_nulls_last("ts"), F.asc_nulls_last("event_id"))
     return table(spark, sf_dir, "events").select(
         F.col("user_id").cast("string").alias("vehicle_id"), F.row_number().over(w).cast("double").alias("timestep_time"),
         F.when(F.col("event_type") == "error", 0.0).otherwise(F.least("value", F.lit(20.0))).alias("vehicle_speed"),
